@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from .langid import op2_langid
+from .licenses import op10_licenses
 from .mixing import op4_mixing
 from .simhash import op9_simhash
 from .toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_langid, op4_mixing, op7_toxicity, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op2_langid, op4_mixing, op7_toxicity, op9_simhash, op10_licenses)}
 ORACLES: dict[str, str] = {}
