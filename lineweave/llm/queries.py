@@ -7,6 +7,7 @@ from .licenses import op10_licenses
 from .mixing import op4_mixing
 from .simhash import op9_simhash
 from .toxicity import op7_toxicity
+from .warc import OP5_SQL, op5_warc
 
-QUERIES = {f.__name__: f for f in (op2_langid, op4_mixing, op7_toxicity, op9_simhash, op10_licenses)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_langid, op4_mixing, op5_warc, op7_toxicity, op9_simhash, op10_licenses)}
+ORACLES: dict[str, str] = {"op5_warc": OP5_SQL}
