@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op3_ann
 from .langid import op2_langid
 from .licenses import op10_licenses
 from .mixing import op4_mixing
@@ -9,5 +10,5 @@ from .simhash import op9_simhash
 from .toxicity import op7_toxicity
 from .warc import OP5_SQL, op5_warc
 
-QUERIES = {f.__name__: f for f in (op2_langid, op4_mixing, op5_warc, op7_toxicity, op9_simhash, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op2_langid, op3_ann, op4_mixing, op5_warc, op7_toxicity, op9_simhash, op10_licenses)}
 ORACLES: dict[str, str] = {"op5_warc": OP5_SQL}
