@@ -8,8 +8,9 @@ from .licenses import op10_licenses
 from .mixing import op4_mixing
 from .pieces import op1_pieces
 from .simhash import op9_simhash
+from .syncmers import op6_syncmers
 from .toxicity import op7_toxicity
 from .warc import OP5_SQL, op5_warc
 
-QUERIES = {f.__name__: f for f in (op1_pieces, op2_langid, op3_ann, op4_mixing, op5_warc, op7_toxicity, op9_simhash, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_pieces, op2_langid, op3_ann, op4_mixing, op5_warc, op6_syncmers, op7_toxicity, op9_simhash, op10_licenses)}
 ORACLES: dict[str, str] = {"op5_warc": OP5_SQL}
