@@ -9,12 +9,14 @@ text is scored by table look-ups over its bytes; a document's score is that of i
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,14 +165,15 @@ def telling_words(toxic_docs: list[set[str]], counts: list[Counter[str]]) -> lis
     A part must be in more toxic documents than chance explains, given how many parts are tried, by words that no better
     part accounts for; so what merely stands beside an insult is not taken for one.
     """
-    cached: dict[str, tuple[str, ...]] = {}
 
-    def parts(w: str) -> tuple[str, ...]:
-        if w not in cached:
-            cached[w] = tuple({w, *(f"^{w}"[k : k + n] for n in (4, 5, 6) for k in range(len(w) + 2 - n))})
-        return cached[w]
+    def parts(w: str) -> set[str]:
+        return {w, *(f"^{w}"[k : k + n] for n in (4, 5, 6) for k in range(len(w) + 2 - n))}
 
-    a = Counter(p for ws in toxic_docs for p in {p for w in ws for p in parts(w)})
+    # a first pass over hashed parts tells which may be in more than 3 documents, so that the rest are never held
+    rough = np.zeros(1 << 22, np.int32)
+    for ws in toxic_docs:
+        rough[np.fromiter({hash(p) & 0x3FFFFF for w in ws for p in parts(w)}, np.int64)] += 1
+    a: Counter[str] | dict[str, int] = Counter(p for ws in toxic_docs for p in {p for w in ws for p in parts(w) if rough[hash(p) & 0x3FFFFF] > 3})
     a = {p: n for p, n in a.items() if n > 3}
     b: Counter[str] = Counter()
     for w, n in counts[0].items():
@@ -205,19 +208,22 @@ def fit(texts: list[str], toxic: list[int]) -> ToxicityModel:
 
     A document of which under half the sentences are new is a copy and counts no more.
     """
-    held: tuple[list[set[str]], list[set[str]]] = ([], [])
-    seen_sentences: set[bytes] = set()
+    toxic_docs: list[set[str]] = []
+    counts: list[Counter[str]] = [Counter(), Counter()]
+    seen_sentences: set[int] = set()
     for y, t in sorted(zip(toxic, texts, strict=True), key=lambda x: x[0]):
-        own = {s.translate(TO_LETTERS, SKIPPED) for s in SENTENCE.split(t.encode())}
-        new = own - seen_sentences
-        seen_sentences |= new
+        own = {xxhash.xxh64_intdigest(x): x for x in (s.translate(TO_LETTERS, SKIPPED) for s in SENTENCE.split(t.encode()))}
+        new = [k for k in own if k not in seen_sentences]
+        seen_sentences.update(new)
         if 2 * len(new) > len(own):
-            held[y].append({w for s in new for w in s.decode("ascii").split() if len(w) > 2})
-    counts = [Counter(w for ws in side for w in ws) for side in held]
+            words = {sys.intern(w) for k in new for w in own[k].decode("ascii").split() if len(w) > 2}
+            counts[y].update(words)
+            if y:
+                toxic_docs.append(words)
     model = ToxicityModel(shift=float(np.log((sum(toxic) + 1) / (len(toxic) - sum(toxic) + 1)) if toxic else -2))
-    if not all(held):
+    if not toxic_docs or not counts[0]:
         return model
-    bad = telling_words(held[1], counts)[:3000]
+    bad = telling_words(toxic_docs, counts)[:3000]
     if not bad:
         return model
     good = sorted(counts[0], key=lambda w: (-counts[0][w], w))
