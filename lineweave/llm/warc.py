@@ -186,6 +186,8 @@ def parse_warc(pieces: Iterable[bytes]) -> Iterator[WarcRecord]:
         data, at = b"".join(held), 0
         while True:
             if head is None:
+                while data[at : at + 2] == b"\r\n":  # a line reader may leave some of a blank line, no header begins so
+                    at += 2
                 stop = data.find(END, at)
                 if stop < 0:
                     need = 0
@@ -200,7 +202,7 @@ def parse_warc(pieces: Iterable[bytes]) -> Iterator[WarcRecord]:
             yield WarcRecord(head, data[at : at + length])
             head, at = None, at + length + 4
         held, size = [data[at:]], len(data) - at
-    if head is not None or size:
+    if head is not None or b"".join(held).strip(b"\r\n"):
         raise ValueError("the archive ends within a record")
 
 
