@@ -131,5 +131,5 @@ def cell_blocks(found: DataFrame) -> DataFrame:
 
 def read_hocr(spark: SparkSession, path: str) -> DataFrame:
     """*.hocr files of a folder -> cell blocks."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.hocr").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
+    files = spark.read.option("pathGlobFilter", "*.hocr").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
     return cell_blocks(spans(files))

@@ -44,7 +44,7 @@ def text_blocks(lines: DataFrame, normalize: bool = True) -> DataFrame:
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """Text files (a file, folder or pattern) -> blocks with doc_id = path. Folders: *.txt and *.text."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.{txt,text}").text(path).select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
+    files = spark.read.option("pathGlobFilter", "*.{txt,text}").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
     return text_blocks(split_lines(files))
 
 

@@ -10,7 +10,7 @@ from lineweave.sources import hocr, text
 
 
 def test_clusters(spark):
-    rows = [(1, v) for v in (1, 4, 6)] + [(2, v) for v in (72, 72, 81, 82, 90, 99)]
+    rows = [(1, float(v)) for v in (1, 4, 6)] + [(2, float(v)) for v in (72, 72, 81, 82, 90, 99)]
     df = spark.createDataFrame(rows, "doc_id long, v double")
     got = {r["doc_id"]: [(c["mn"], c["mx"], c["n"]) for c in r["clusters"]] for r in L.clusters(df.where("doc_id = 1"), "v", 4).union(L.clusters(df.where("doc_id = 2"), "v", 10)).collect()}
     assert got == {1: [(1, 4, 2), (6, 6, 1)], 2: [(72, 82, 4), (90, 99, 2)]}
