@@ -114,25 +114,36 @@ def _packed(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(words).encode(), np.uint8), np.cumsum([0, *map(len, words)])
 
 
-def _maps(words: list[str]) -> np.ndarray:
-    """The explicit, normalised feature vectors of a few words: words x 2**15."""
+def _maps(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The explicit, normalised feature vectors of a few words, and the row of each triple: triples of theirs (and a row of zeros) x words."""
     c, word, row = stream(*_packed(words))
-    out = np.zeros((len(words), 1 << 15), np.float32)
-    for code, at, weight in triples(c, word):
-        np.add.at(out, (row[at], code), weight)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
-
-
-def _kernels(words: list[str], marks: np.ndarray) -> np.ndarray:
-    """Kernel of each word with each landmark (rows of marks)."""
-    by_code, out = np.ascontiguousarray(marks.T), np.zeros((len(words), len(marks)))
+    found = list(triples(c, word))
+    codes = np.unique(np.concatenate([code for code, _, _ in found]))
+    place = np.full(1 << 15, len(codes), np.int32)
+    place[codes] = np.arange(len(codes))
+    out = np.zeros((len(codes) + 1, len(words)), np.float32)
+    for code, at, weight in found:
+        np.add.at(out, (place[code], row[at]), weight)
+    out /= np.maximum(np.linalg.norm(out, axis=0), 1e-9)
+    return out, place
+
+
+def _decisions(model: ToxicityModel, words: list[str], most: int = 20000) -> np.ndarray:
+    """The decision of each word, some at a time."""
+    return np.concatenate([model.worst(*_packed(words[k : k + most])) for k in range(0, len(words), most)]) if words else np.zeros(0)
+
+
+def _kernels(words: list[str], by_code: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Kernel of each word with each landmark (columns of by_code)."""
+    marks = by_code.shape[1]
+    out = np.zeros((len(words), marks))
     for k in range(0, len(words), 2000):
         c, word, row = stream(*_packed(words[k : k + 2000]))
-        part = np.zeros((len(row), len(marks)))
+        part = np.zeros((len(row), marks))
         for code, at, weight in triples(c, word):
             if len(at):
                 first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                part[at[first]] += weight * np.add.reduceat(by_code[code], first, axis=0)
+                part[at[first]] += weight * np.add.reduceat(by_code[place[code]], first, axis=0)
         out[k + row] = part / lengths(word, len(row))[:, None]
     return out
 
@@ -170,10 +181,10 @@ def telling_words(toxic_docs: list[set[str]], counts: list[Counter[str]]) -> lis
         return {w, *(f"^{w}"[k : k + n] for n in (4, 5, 6) for k in range(len(w) + 2 - n))}
 
     # a first pass over hashed parts tells which may be in more than 3 documents, so that the rest are never held
-    rough = np.zeros(1 << 22, np.int32)
+    rough = np.zeros(1 << 23, np.int16)
     for ws in toxic_docs:
-        rough[np.fromiter({hash(p) & 0x3FFFFF for w in ws for p in parts(w)}, np.int64)] += 1
-    a: Counter[str] | dict[str, int] = Counter(p for ws in toxic_docs for p in {p for w in ws for p in parts(w) if rough[hash(p) & 0x3FFFFF] > 3})
+        rough[np.fromiter({hash(p) & 0x7FFFFF for w in ws for p in parts(w)}, np.int64)] += 1
+    a: Counter[str] | dict[str, int] = Counter(p for ws in toxic_docs for p in {p for w in ws for p in parts(w) if rough[hash(p) & 0x7FFFFF] > 3})
     a = {p: n for p, n in a.items() if n > 3}
     b: Counter[str] = Counter()
     for w, n in counts[0].items():
@@ -189,11 +200,12 @@ def telling_words(toxic_docs: list[set[str]], counts: list[Counter[str]]) -> lis
     where: dict[str, set[int]] = {}
     for k, ws in enumerate(toxic_docs):
         for w in ws:
-            where.setdefault(w, set()).add(k)
-    for w in where:
-        for p in parts(w):
-            if p in of and not counts[0][w]:
-                of[p].append(w)
+            if w in where:
+                where[w].add(k)
+            elif not counts[0][w] and (own := [p for p in parts(w) if p in of]):
+                where[w] = {k}
+                for p in own:
+                    of[p].append(w)
     bad: dict[str, None] = {}
     for _, p in sorted(pure):
         left = [w for w in of[p] if w not in bad]
@@ -203,7 +215,7 @@ def telling_words(toxic_docs: list[set[str]], counts: list[Counter[str]]) -> lis
     return sorted(bad, key=lambda w: (-len(where[w]), w))
 
 
-def fit(texts: list[str], toxic: list[int]) -> ToxicityModel:
+def fit(texts: pa.Array, toxic: list[int]) -> ToxicityModel:
     """Learn from labelled documents, whose sentences bear their label; a sentence that both kinds hold is a clean one.
 
     A document of which under half the sentences are new is a copy and counts no more.
@@ -211,12 +223,13 @@ def fit(texts: list[str], toxic: list[int]) -> ToxicityModel:
     toxic_docs: list[set[str]] = []
     counts: list[Counter[str]] = [Counter(), Counter()]
     seen_sentences: set[int] = set()
-    for y, t in sorted(zip(toxic, texts, strict=True), key=lambda x: x[0]):
-        own = {xxhash.xxh64_intdigest(x): x for x in (s.translate(TO_LETTERS, SKIPPED) for s in SENTENCE.split(t.encode()))}
-        new = [k for k in own if k not in seen_sentences]
+    for k in np.argsort(np.array(toxic), kind="stable").tolist():
+        y = toxic[k]
+        own = {xxhash.xxh64_intdigest(x): x for x in (s.translate(TO_LETTERS, SKIPPED) for s in SENTENCE.split(texts[k].as_py().encode()))}
+        new = [h for h in own if h not in seen_sentences]
         seen_sentences.update(new)
         if 2 * len(new) > len(own):
-            words = {sys.intern(w) for k in new for w in own[k].decode("ascii").split() if len(w) > 2}
+            words = {sys.intern(w) for h in new for w in own[h].decode("ascii").split() if len(w) > 2}
             counts[y].update(words)
             if y:
                 toxic_docs.append(words)
@@ -228,20 +241,20 @@ def fit(texts: list[str], toxic: list[int]) -> ToxicityModel:
         return model
     good = sorted(counts[0], key=lambda w: (-counts[0][w], w))
     rng = np.random.default_rng(7)
+    del toxic_docs, counts
     few = [good[k] for k in sorted(set(range(min(1500, len(good)))) | set(rng.integers(0, len(good), 3000).tolist()))]
-    everything = _packed([f"{w} " for w in good])
     for _ in range(4):
         marks = bad[: LANDMARKS // 2]
         marks = marks + few[-LANDMARKS + len(marks) :]
-        m = _maps(marks)
-        values, vectors = np.linalg.eigh((m @ m.T).astype(np.float64))
+        m, place = _maps(marks)
+        values, vectors = np.linalg.eigh((m.T @ m).astype(np.float64))
         some = values > 1e-6 * values.max()
         root = vectors[:, some] / np.sqrt(values[some])
-        z = _kernels(bad + few, m) @ root
+        z = _kernels(bad + few, m, place) @ root
         y = np.r_[np.ones(len(bad)), -np.ones(len(few))]
         w = _svm(z, y, np.r_[np.full(len(bad), 1 / len(bad)), np.full(len(few), 1 / len(few))] * 2000)
-        model.weights, model.bias = (root @ w[:-1]) @ m.astype(np.float64), float(w[-1])
-        decision = model.worst(*everything)
+        model.weights, model.bias = (m @ (root @ w[:-1]))[place], float(w[-1])
+        decision = _decisions(model, good)
         seen = set(few)
         hard = [good[k] for k in np.argsort(-decision)[:1500].tolist() if decision[k] > -0.9 and good[k] not in seen]
         if not hard:
@@ -251,7 +264,7 @@ def fit(texts: list[str], toxic: list[int]) -> ToxicityModel:
     mildest = float(model.worst(*_packed(bad)).min())
     middle = min(0.35, max(0.0, (float(decision.max()) + mildest) / 2))
     y = np.array(toxic)
-    x = np.concatenate([model.worst(d, o) for _, _, d, o in slices(pa.array(texts, pa.large_string()))]) - middle
+    x = np.concatenate([model.worst(d, o) for _, _, d, o in slices(texts)]) - middle
     n1, n0 = max(1, y.sum()), max(1, (1 - y).sum())
     t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     weight, slope = np.where(y == 1, 1 / n1, 1 / n0) * len(y) / 2, 1.0
@@ -265,7 +278,7 @@ def fit(texts: list[str], toxic: list[int]) -> ToxicityModel:
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
+def sample(docs: DataFrame, labels: DataFrame) -> tuple[pa.Array, list[int]]:
     """At most about TOXIC and CLEAN labelled documents (remainder not 0), chosen by a hash of the id, whole texts.
 
     Null ids, texts and labels are left out; several labels of an id count as their largest. Only the two counts and the
@@ -277,9 +290,10 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
     share = F.when(F.col("toxic") == 1, min(1.0, TOXIC / max(1, counts.get(1, 0)))).otherwise(min(1.0, CLEAN / max(1, counts.get(0, 0))))
     chosen = known.where(unit < share).select(F.col("doc_id").alias("labelled_id"), "toxic")
     few = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    rows = few.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id")).select("text", "toxic", "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return [r["text"] for r in rows], [r["toxic"] for r in rows]
+    rows = few.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id")).select("text", "toxic", "doc_id").toArrow()
+    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+    texts = rows.column("text")
+    return texts.chunk(0) if texts.num_chunks else pa.array([], pa.string()), rows.column("toxic").to_pylist()
 
 
 def scored(docs: DataFrame, model: ToxicityModel, name: str = "toxicity") -> DataFrame:
