@@ -223,12 +223,14 @@ def fit(texts: pa.Array, toxic: list[int]) -> ToxicityModel:
     toxic_docs: list[set[str]] = []
     counts: list[Counter[str]] = [Counter(), Counter()]
     seen_sentences: set[int] = set()
+    clean_sentences: set[int] = set()
     for k in np.argsort(np.array(toxic), kind="stable").tolist():
         y = toxic[k]
         own = {xxhash.xxh64_intdigest(x): x for x in (s.translate(TO_LETTERS, SKIPPED) for s in SENTENCE.split(texts[k].as_py().encode()))}
-        new = [h for h in own if h not in seen_sentences]
-        seen_sentences.update(new)
-        if 2 * len(new) > len(own):
+        fresh = sum(h not in seen_sentences and h not in clean_sentences for h in own)
+        new = [h for h in own if h not in clean_sentences]  # an insult may stand in many documents word for word
+        (seen_sentences if y else clean_sentences).update(new)
+        if 2 * fresh > len(own):
             words = {sys.intern(w) for h in new for w in own[h].decode("ascii").split() if len(w) > 2}
             counts[y].update(words)
             if y:
