@@ -1,12 +1,17 @@
-"""Operator 4, mixing sources to target weights: a Pfair schedule of source blocks, in DataFrame and SQL functions only.
+"""Operator 4, mixing sources to target weights: a Pfair schedule of source blocks.
 
 Block j (from 0) of a source with weight w is released at slot floor(j / w) and due by slot ceil((j + 1) / w); the
-earliest due of the released goes first. With weights that are multiples of 1/PERIOD the schedule repeats every PERIOD
-slots, so one period is folded once and every block finds its slot by a formula, whatever the number of rows.
+earliest due of the released goes first. Weights are kept as whole numbers in exactly their ratio, so a source is less
+than one block from its target weight at every slot, however many there are. The driver folds the schedule, one step for
+each block that exists (not for each slot); the rows are placed with DataFrame and SQL functions only.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+from heapq import heappop, heappush
+from math import gcd, lcm
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,40 +19,54 @@ from pyspark.sql.window import Window
 
 from .common import cut, free_name, prepare, table
 
-#: Slots of a period (the resolution of weights), characters of a block, and the sources that may be mixed at most.
-PERIOD, BLOCK_CHARS, MOST_SOURCES = 1000, 65536, 500
+#: Blocks of a source in one row of the plan, characters of a block, and the blocks whose plan is broadcast at most.
+PERIOD, BLOCK_CHARS, BROADCAST_BLOCKS = 4096, 65536, 1 << 22
 #: Without given weights, a source weighs its characters to this power.
 TEMPERATURE = 0.5
 
 
-def quotas(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Slots of each source in a period, at least one each, by largest remainder (ties: smaller name)."""
-    if len(weights) > min(MOST_SOURCES, period):
-        raise ValueError(f"{len(weights)} sources; at most {min(MOST_SOURCES, period)} can be mixed")
-    if any(not w > 0 or w == float("inf") for w in weights.values()):
+def quotas(weights: dict[str, float], period: int = 1) -> dict[str, int]:
+    """Whole numbers in exactly the ratio of the weights, the smallest whose sum is a multiple of `period`."""
+    if any(not 0 < w < float("inf") for w in weights.values()):
         raise ValueError("weights must be positive numbers")
-    total, spare = sum(weights.values()), period - len(weights)
-    exact = {s: spare * w / total for s, w in weights.items()}
-    own = {s: int(x) for s, x in exact.items()}
-    for s in sorted(own, key=lambda s: (own[s] - exact[s], s))[: spare - sum(own.values())]:
-        own[s] += 1
-    return {s: n + 1 for s, n in own.items()}
-
-
-def schedule(spark: SparkSession, own: dict[str, int]) -> DataFrame:
-    """(key, quota, slots): for each source the slots of its blocks in a period, by earliest deadline first (ties: smaller name)."""
-    names = sorted(own)
-    rows = spark.createDataFrame([(names, [own[s] for s in names])], T.StructType([T.StructField("names", T.ArrayType(T.StringType())), T.StructField("k", T.ArrayType(T.LongType()))]))
-    period = sum(own.values())
-    pick = f"""array_min(transform(k, (q, i) -> IF(s.done[i] < q AND s.done[i] * {period} div q <= t,
-        struct(((s.done[i] + 1) * {period} + q - 1) div q AS due, i AS i), struct({2 * period}L AS due, i AS i)))).i"""
-    folded = rows.selectExpr(
-        "names", "k",
-        f"""aggregate(sequence(0L, {period - 1}L), struct(transform(k, q -> 0L) AS done, cast(array() AS array<int>) AS took, 0 AS at),
-            (s, t) -> transform(array({pick}), p -> struct(transform(s.done, (n, i) -> n + IF(i = p, 1L, 0L)) AS done, concat(s.took, array(p)) AS took, p AS at))[0],
-            s -> s.took) AS took""",
-    )
-    return folded.selectExpr("k", "took", "posexplode(names) AS (at, key)").selectExpr("key", "k[at] AS quota", "filter(transform(took, (p, t) -> IF(p = at, cast(t AS long), NULL)), x -> x IS NOT NULL) AS slots")
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = lcm(*(x.denominator for x in exact.values()))
+    own = {s: int(x * scale) for s, x in exact.items()}
+    common = gcd(*own.values())
+    total = sum(own.values()) // common
+    return {s: n // common * (lcm(total, period) // total) for s, n in own.items()}
+
+
+def slots_of(own: dict[str, int], blocks: dict[str, int]) -> dict[str, list[int]]:
+    """The slots of each source's blocks, by earliest deadline first (ties: smaller name), a source having own / sum(own) of all.
+
+    Only blocks that exist are scheduled, so slots of sources that have ended stay empty.
+    """
+    names, whole = sorted(own), sum(own.values())
+    took: list[list[int]] = [[] for _ in names]
+    # (release, source) of the next blocks that are not released, (deadline, source) of those that are
+    later, ready = [(0, i) for i in range(len(names)) if blocks[names[i]] > 0], []
+    t = 0
+    while later or ready:
+        if not ready:
+            t = max(t, later[0][0])
+        while later and later[0][0] <= t:
+            i = heappop(later)[1]
+            heappush(ready, (-(-(len(took[i]) + 1) * whole // own[names[i]]), i))
+        due, i = heappop(ready)
+        assert t < due, "a block is late"
+        took[i].append(t)
+        if len(took[i]) < blocks[names[i]]:
+            heappush(later, (len(took[i]) * whole // own[names[i]], i))
+        t += 1
+    return dict(zip(names, took, strict=True))
+
+
+def schedule(spark: SparkSession, own: dict[str, int], blocks: dict[str, int] | None = None, period: int = PERIOD) -> DataFrame:
+    """(key, chunk, slots): the slots of blocks chunk * period and on of each source; without `blocks`, of its `own` first ones."""
+    found = slots_of(own, own if blocks is None else blocks)
+    rows = [(s, k // period, x[k : k + period]) for s, x in found.items() for k in range(0, len(x), period)]
+    return spark.createDataFrame(rows, T.StructType([T.StructField("key", T.StringType()), T.StructField("chunk", T.LongType()), T.StructField("slots", T.ArrayType(T.LongType()))]), verifySchema=False)
 
 
 def _key(source: Column) -> Column:
@@ -60,12 +79,13 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block
 
     A source's documents are laid end to end in the order of md5(doc_id) (ties: doc_id, then text; null ids first); start
     is the characters before a document, block = floor(start / block_chars), slot the block's place in the schedule. At
-    each slot a source has had within one block of its share, until its documents end; from there its slots stay empty
+    each slot a source has had less than one block from its share, until its documents end; from there its slots stay empty
     and the rest keep their ratios. Every row stays. Null source: a source of its own. Null text: no characters. Sources
     without a weight in `weights`: ValueError. Without weights: characters to the power TEMPERATURE.
 
     A source's rows are dealt by (source, leading digits of the md5), so a large source is many groups of some thousand
-    rows; the running sums of the groups' totals give each group its start.
+    rows; the running sums of the groups' totals give each group its start. Any number of sources is mixed: the driver
+    holds a number for each block. `period` is the blocks in a row of the plan and does not change what is planned.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -77,7 +97,7 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block
     order = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
     light = inner.select("key", size.alias("size"), order.substr(1, digits).alias("part"))
     groups = cut(light.groupBy("key", "part").agg(F.sum("size").alias("size")))
-    totals = {r["key"]: r["size"] for r in groups.groupBy("key").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()}
+    totals = {r["key"]: r["size"] for r in groups.groupBy("key").agg(F.sum("size").alias("size")).collect()}
     if weights is None:
         targets = {s: max(float(x), 1.0) ** TEMPERATURE for s, x in totals.items()}
     else:
@@ -89,9 +109,15 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block
     w = Window.partitionBy("key", "part").orderBy("order", F.col("id").asc_nulls_first(), F.col("words").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     placed = inner.withColumn("order", order).withColumn("part", F.col("order").substr(1, digits)).withColumn("inside", F.coalesce(F.sum(size).over(w), F.lit(0)))
     placed = placed.join(before, ["key", "part"]).withColumn("start", F.col("base") + F.col("inside")).withColumn("block", F.expr(f"start div {block_chars}L"))
-    # one row of a source holds its slots of a period: MOST_SOURCES rows and `period` numbers at most
-    plan = F.broadcast(schedule(spark, quotas(targets, period))) if targets else spark.createDataFrame([], "key string, quota long, slots array<bigint>")
-    done = placed.join(plan, "key").withColumn("slot", F.expr(f"(block div quota) * {period}L + slots[cast(block % quota AS int)]"))
+    blocks = {s: x // block_chars + 1 for s, x in totals.items()}
+    if targets:
+        plan = schedule(spark, quotas(targets), blocks, period)
+        # 8 bytes for each block of text; a larger plan is joined like any other table
+        plan = F.broadcast(plan) if sum(blocks.values()) <= BROADCAST_BLOCKS else plan
+    else:
+        plan = spark.createDataFrame([], "key string, chunk long, slots array<bigint>")
+    placed = placed.withColumn("chunk", F.expr(f"block div {period}L"))
+    done = placed.join(plan, ["key", "chunk"]).withColumn("slot", F.expr(f"slots[cast(block % {period}L AS int)]"))
     plain = docs.limit(0)
     return done.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], *[F.col(c).alias(free_name(plain, c)) for c in ("block", "slot", "start")])
 
