@@ -168,10 +168,13 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def identified(docs: DataFrame) -> DataFrame:
     """The rows of docs whose text is in some language, that is, has a letter: `und` goes; the columns stay as they are.
 
-    Rows with a null text go. The model is learned from the labelled rows of docs. Columns named lang_pred or lang_score keep their own values.
+    Rows with a null text go. The model is learned from the labelled rows of docs; if they hold none that can be learned
+    from, the letters alone decide, which no model is needed for. Columns named lang_pred or lang_score keep their own values.
     """
     prepare(docs.sparkSession)
     model = learn(docs)
+    if model is None:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
     if "lang_pred" not in {c.lower() for c in docs.columns} and "lang_score" not in {c.lower() for c in docs.columns}:
         return predict(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
     names = docs.columns
