@@ -43,6 +43,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
 
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = np.fromiter((fingerprint(t) for t in texts_of(b.column("text"))), np.uint64, b.num_rows)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found.view(np.int64))], [*b.schema.names, "fp"])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long) for every row; a null or empty text has fingerprint 0."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
@@ -106,7 +112,7 @@ def spanning(v: np.ndarray, fp: np.ndarray, bits: int = BITS) -> list[tuple[int,
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell (choice, key) -> edges. A cell that goes on in the next batch is carried over."""
+    """Rows sorted by cell (choice, key) -> edges, each end as (v, fp). A cell that goes on in the next batch is carried over."""
     carry = None
 
     def cells(choice: np.ndarray, key: np.ndarray, v: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
@@ -117,15 +123,16 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.repeat(new, size)[: max(0, len(key) - d)] == np.repeat(new, size)[d:]
             at = np.flatnonzero(first & (np.repeat(size, size)[: max(0, len(key) - d)] <= 8))
             at = at[near(fp[at], fp[at + d])]
-            a.append(v[at])
-            b.append(v[at + d])
+            a.append(at)
+            b.append(at + d)
         for k in np.flatnonzero(size > 8):
             s = slice(new[k], new[k] + size[k])
-            if edges := spanning(v[s], fp[s]):
+            if edges := spanning(np.arange(s.start, s.stop), fp[s]):
                 x = np.array(edges, np.int64)
                 a.append(x[:, 0])
                 b.append(x[:, 1])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+        ends = [np.concatenate(x) for x in (a, b)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for e in ends for x in (v[e], fp.view(np.int64)[e])], ["av", "af", "bv", "bf"])
 
     for batch in batches:
         now = [np.asarray(batch.column(c)) for c in ("choice", "key", "v", "fp")]
@@ -145,6 +152,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(vertices: DataFrame, n: int) -> DataFrame:
     """vertices(v long, fp long), fp distinct -> edges(a, b) whose components are those of all links of 4 bits or fewer.
 
+    An end of an edge is struct(v, fp), as vertices with one v may be different ones.
+
     The embedding of a fingerprint is its 32 popcounts; a grid cell is the popcounts of one choice of groups. Cells are
     dealt by (choice, key) and sorted; within one, the Manhattan bound and then the exact distance are tested.
     """
@@ -152,24 +161,28 @@ def links(vertices: DataFrame, n: int) -> DataFrame:
     packed = F.shiftleft(fp.bitwiseAND(half).bitwiseAND(low), 1).bitwiseOR(fp.bitwiseXOR(half).bitwiseAND(low))
     keys = F.array(*[packed.bitwiseAND(F.lit(_signed(m))) for m in masks(groups_for(n))])
     dealt = vertices.select("v", "fp", F.posexplode(keys).alias("choice", "key"))
-    return dealt.repartition("choice", "key").sortWithinPartitions("choice", "key").mapInArrow(_links, "a long, b long")
+    return dealt.repartition("choice", "key").sortWithinPartitions("choice", "key").mapInArrow(_links, "av long, af long, bv long, bf long").select(F.struct(F.col("av").alias("v"), F.col("af").alias("fp")).alias("a"), F.struct(F.col("bv").alias("v"), F.col("bf").alias("fp")).alias("b"))
+
+
+def _components(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component struct(v, fp)) for every row of docs: the vertex with the smallest doc_id, then fp, of its component."""
+    fps = cut(fingerprints(docs))
+    vertices = cut(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("v")))
+    found = components(links(vertices, vertices.count()))
+    found = vertices.select(F.struct("v", "fp").alias("node")).join(found, "node", "left").select(F.col("node.fp").alias("fp"), F.coalesce("component", "node").alias("component"))
+    return fps.join(found, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component"))
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, fp long, component_id long), a row for every row of docs.
 
-    Equal fingerprints are one vertex (named by its smallest doc_id) before any join, so groups of copies never meet in
-    one task. Rows with null doc_id are fingerprinted but linked to nothing: component_id is null. A repeated doc_id is
-    one document for linking if its fingerprints agree, and else the smallest id reachable from each of its rows.
+    Equal fingerprints are one vertex before any join, so groups of copies never meet in one task. component_id is the
+    smallest doc_id of a component. Rows with null doc_id are fingerprinted but linked to nothing: component_id is null.
+    Rows that repeat a doc_id are linked by their fingerprints alone, and may be in different components.
     Fingerprint 0 (null, empty, blank texts) is linked like any other. Empty input: empty result. Other columns: ignored.
     """
     prepare(docs.sparkSession)
-    fps = cut(fingerprints(docs))
-    vertices = cut(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("v")))
-    found = components(links(vertices, vertices.count()))
-    # one doc_id may name two vertices, if its rows have different texts: the smaller component counts
-    found = vertices.join(found.groupBy(F.col("node").alias("v")).agg(F.min("component").alias("c")), "v", "left").select("fp", F.coalesce("c", "v").alias("component_id"))
-    return fps.join(found, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return _components(docs).select("doc_id", "fp", F.col("component.v").alias("component_id"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,11 +191,24 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the rows that have a near-duplicate with a smaller doc_id, nor repeats of a doc_id; columns as they are.
+    """docs with one row of each component: the one with the smallest doc_id, then the greatest text; columns as they are.
 
-    Rows with null doc_id stay. Of rows with one doc_id that are in one group, the one with the greatest text stays.
+    Rows with null doc_id stay. Rows that are equal in both are told apart by their other columns, so a task that is run
+    again keeps the same one. Only rows whose doc_id is repeated are fingerprinted again, to find their components.
     """
-    ids = simhash_components(docs).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("keep__id")).agg(F.min("component_id").alias("c")).where("keep__id = c").select("keep__id")
-    kept = docs.join(ids, docs["doc_id"] == ids["keep__id"], "left_semi")
-    kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    prepare(docs.sparkSession)
+    found = _components(docs).where("doc_id IS NOT NULL").withColumn("least", F.col("doc_id") == F.col("component.v"))
+    ids = cut(found.groupBy(F.col("doc_id").alias("keep__id")).agg(F.count("*").alias("n"), F.max("least").alias("least")).where("least"))
+    once, often = ids.where("n = 1").select("keep__id"), ids.where("n > 1").select("keep__id")
+    key = docs["doc_id"].cast("long")
+    kept = docs.join(once, key == once["keep__id"], "left_semi").unionByName(docs.where(key.isNull()))
+    if often.isEmpty():
+        return kept
+    names = docs.columns
+    # fingerprints of the repeated ids that are kept, each once, with its component
+    own = cut(found.where("least").join(often, F.col("doc_id") == F.col("keep__id"), "left_semi").select(F.col("doc_id").alias("id"), "fp", "component").distinct())
+    rows = docs.join(often, key == often["keep__id"], "left_semi")
+    rows = rows.select(key.alias("id"), rows["text"].cast("string").alias("text"), F.struct(*[rows[c].alias(f"c{k}") for k, c in enumerate(names)]).alias("row"))
+    marked = rows.mapInArrow(_marked, f"id long, text string, row {rows.schema['row'].dataType.simpleString()}, fp long").join(own, ["id", "fp"])
+    best = marked.groupBy("id", "component").agg(F.max_by("row", F.struct("text", F.to_json("row"))).alias("row"))
+    return kept.unionByName(best.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(names)]))
