@@ -2,7 +2,7 @@
 
 A k-mer is K words; its inner substrings are its runs of S words. It is a closed syncmer if the run with the smallest hash
 is its first or its last one: that depends on the k-mer alone, so texts choose the same k-mers wherever they share
-K words, and an edit changes none beyond it. A fingerprint is the KEPT smallest hashes of a text's syncmers.
+K words, and an edit changes none beyond it. A fingerprint is the hashes of all of a text's syncmers.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, prepare, table
 
-#: Words of a k-mer, words of an inner run, hashes of a fingerprint; a word has WORD_CHARS characters at most, longer ones are cut.
-K, S, KEPT, WORD_CHARS = 5, 2, 64, 16
+#: Words of a k-mer, words of an inner run, hashes of a fingerprint at most (None: all); a word has WORD_CHARS characters at most, longer ones are cut.
+K, S, KEPT, WORD_CHARS = 5, 2, None, 16
 WORD = rf"[^\x20\x09-\x0D]{{1,{WORD_CHARS}}}"
 
 
@@ -47,14 +47,14 @@ def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with the column `name`: the KEPT smallest distinct hashes (remainders by 2 ** 31) of the text's syncmers, ascending.
+    """df with the column `name`: the distinct hashes (remainders by 2 ** 31) of all of the text's syncmers, ascending.
 
     A text without a syncmer that has words (fewer than K, mostly) has the hash of all its words; one without words none.
     """
     words, runs = f"{name}__words", f"{name}__runs"
     df = df.withColumn(words, word_hashes(F.col(text))).withColumn(runs, _runs(F.col(words)))
     made = f"filter(transform(IF(size({runs}) >= {K - S + 1}, sequence(0, size({runs}) - {K - S + 1}), cast(array() AS array<int>)), i -> {_syncmer(runs, 'i')}), x -> x IS NOT NULL)"
-    df = df.withColumn(name, F.expr(f"slice(array_sort(array_distinct(transform({made}, x -> cast(x % 2147483648 AS int)))), 1, {KEPT})"))
+    df = df.withColumn(name, F.expr(f"array_sort(array_distinct(transform({made}, x -> cast(x % 2147483648 AS int))))"))
     whole = F.array((F.xxhash64(words) % 2147483648).cast("int"))
     return df.withColumn(name, F.when((F.size(name) == 0) & (F.size(words) > 0), whole).otherwise(F.col(name))).drop(words, runs)
 
@@ -65,10 +65,10 @@ def hexed(fingerprint: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the smallest hashes of both that both have, which estimates the syncmers' Jaccard index; 1 if neither has any."""
-    both = F.slice(F.array_sort(F.array_union(a, b)), 1, KEPT)
-    shared = F.size(F.array_intersect(F.array_intersect(both, a), b))
-    return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(shared / F.size(both))
+    """Jaccard index of two fingerprints, that is, of the texts' sets of syncmers; 1 if neither has any."""
+    shared = F.size(F.array_intersect(a, b))
+    both = F.size(a) + F.size(b) - shared
+    return F.when(both == 0, F.lit(1.0)).otherwise(shared / both)
 
 
 def next_ids(docs: DataFrame) -> DataFrame:
