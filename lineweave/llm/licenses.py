@@ -29,8 +29,8 @@ TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 1
 NAMES = (
     ("0bsd", "0bsd|zero clause", r"(?:0bsd|zero clause bsd|bsd zero clause)", r"0bsd"),
     ("afl-3", "academic|afl", r"academic free license(?: version| v)? 3(?: 0)?", r"afl 3 0"),
-    ("agpl-3", "affero|agpl|agpl3|agplv3", r"(?:gnu )?(?:affero general public|agpl) ?(?:licen[cs]e)?(?: version| v)? ?3(?: 0)?", r"agpl 3 0(?: only| or later)?"),
-    ("agpl", "affero|agpl|agpl3|agplv3", r"(?:gnu affero general public licen[cs]e|gnu agpl|agplv?)", r"agpl 1 0(?: only| or later)?"),
+    ("agpl-3", "affero|agpl|agpl3|agplv3|agpllicence|agpllicence3|agpllicencev|agpllicencev3|agpllicense|agpllicense3|agpllicensev|agpllicensev3|agplv", r"(?:gnu )?(?:affero general public|agpl) ?(?:licen[cs]e)?(?: version| ?v)? ?3(?: 0)?", r"agpl 3 0(?: only| or later)?"),
+    ("agpl", "affero|agpl|agpl3|agplv3|agpllicence|agpllicence3|agpllicencev|agpllicencev3|agpllicense|agpllicense3|agpllicensev|agpllicensev3|agplv", r"(?:gnu affero general public licen[cs]e|gnu agpl|agplv?)", r"agpl 1 0(?: only| or later)?"),
     ("apache-1.1", "apache", r"apache (?:software )?licen[cs]e(?: version| v)? ?1 1", r"apache 1 1"),
     ("apache-2", "apache", r"apache (?:software )?(?:licen[cs]e )?(?:version |v)?2(?: 0)?", r"apache 2 0"),
     ("apache", "apache", r"apache (?:software )?licen[cs]e", None),
@@ -38,10 +38,10 @@ NAMES = (
     ("artistic-1", "artistic", r"(?:perl )?artistic licen[cs]e", r"artistic 1 0(?: perl| cl8)?"),
     ("beerware", "beer|beerware", r"beer ?ware licen[cs]e", r"beerware"),
     ("blueoak-1", "blue oak", r"blue oak model licen[cs]e", r"blueoak 1 0 0"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd licen[cs]e)", r"bsd 2 clause(?: patent| views)?"),
+    ("bsd-2-clause", "bsd|freebsd", r"(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd licen[cs]e)", r"bsd 2 clause(?: patent| views)?"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|revised bsd|modified bsd)", r"bsd 3 clause(?: clear| lbnl| attribution)?"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd|old bsd)", r"bsd 4 clause(?: uc)?"),
-    ("bsd", "bsd", r"(?:bsd style|bsd type|berkeley software distribution|bsd)", None),
+    ("bsd", "bsd|berkeley software", r"(?:bsd style|bsd type|berkeley software distribution|bsd)", None),
     ("bsl-1", "boost|bsl", r"boost software licen[cs]e", r"bsl 1 0"),
     ("busl-1.1", "business source|busl", r"business source licen[cs]e", r"busl 1 1"),
     ("cc-by-nc-nd", "cc by|creative commons", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative|s|atives)(?: works)?)", r"cc by nc nd [1-4] [05](?: igo)?"),
@@ -55,25 +55,25 @@ NAMES = (
     ("cecill-2.1", "cecill", r"cecill(?: [abc])?(?: free software)?(?: licen[cs]e)?(?: agreement)?", r"cecill (?:[bc]|1 [01]|2 [01])"),
     ("cpl-1", "cpl|common public", r"common public licen[cs]e", r"cpl 1 0"),
     ("ecl-2", "educational community|ecl", r"educational community licen[cs]e", r"ecl [12] 0"),
-    ("epl-2", "eclipse|epl", r"(?:eclipse public licen[cs]e|epl)(?: version| v)? ?2(?: 0)?", r"epl 2 0"),
-    ("epl-1", "eclipse|epl", r"(?:eclipse public licen[cs]e)", r"epl 1 0"),
+    ("epl-2", "eclipse|epl|epl2|eplv|eplv2", r"(?:eclipse public licen[cs]e|epl)(?: version| ?v)? ?2(?: 0)?", r"epl 2 0"),
+    ("epl-1", "eclipse|epl|epl2|eplv|eplv2", r"(?:eclipse public licen[cs]e)", r"epl 1 0"),
     ("eupl-1.2", "european union|eupl", r"(?:european union public licen[cs]e|eupl)", r"eupl 1 [012]"),
     ("gfdl-1.3", "free documentation|gfdl", r"(?:gnu free documentation licen[cs]e|gfdl)", r"gfdl 1 [123](?: only| or later)?"),
-    ("gpl-3", "general public|gpl|gpl2|gpl3|gplv2|gplv3", r"(?:gnu (?:general public licen[cs]e|gpl)|gpl|general public licen[cs]e)(?: \w+){0,3}? ?(?:version |v)?3(?: 0)?", r"gpl 3 0(?: only| or later)?"),
-    ("gpl-2", "general public|gpl|gpl2|gpl3|gplv2|gplv3", r"(?:gnu (?:general public licen[cs]e|gpl)|gpl|general public licen[cs]e)(?: \w+){0,3}? ?(?:version |v)?2(?: 0)?", r"gpl 2 0(?: only| or later)?"),
-    ("gpl", "general public|gpl|gpl2|gpl3|gplv2|gplv3", r"(?:gnu general public licen[cs]e|gnu gpl|gpl)", r"gpl 1 0(?: only| or later)?"),
-    ("isc", "isc", r"(?:isc licen[cs]e|internet systems consortium licen[cs]e)", r"isc"),
-    ("lgpl-3", "lesser|library|lgpl|lgpl2|lgpl3|lgplv2|lgplv3", r"(?:gnu (?:lesser general public licen[cs]e|lgpl)|lgpl)(?: version| v)? ?3(?: 0)?", r"lgpl 3 0(?: only| or later)?"),
-    ("lgpl-2.1", "lesser|library|lgpl|lgpl2|lgpl3|lgplv2|lgplv3", r"(?:gnu (?:lesser general public licen[cs]e|lgpl)|lgpl)(?: version| v)? ?2 1", r"lgpl 2 1(?: only| or later)?"),
-    ("lgpl-2", "lesser|library|lgpl|lgpl2|lgpl3|lgplv2|lgplv3", r"(?:gnu (?:library general public licen[cs]e|lgpl)|lgpl)(?: version| v)? ?2(?: 0)?", r"lgpl 2 0(?: only| or later)?"),
-    ("lgpl", "lesser|library|lgpl|lgpl2|lgpl3|lgplv2|lgplv3", r"(?:gnu (?:lesser|library) general public licen[cs]e|gnu lgpl|lgpl)", None),
-    ("libpng", "libpng", r"(?:libpng licen[cs]e|png reference library licen[cs]e)", r"libpng(?: 2 0)?"),
+    ("gpl-3", "general public|gpl|gpl2|gpl3|gplv2|gplv3|gplversion", r"(?:gnu (?:general public licen[cs]e|gpl)|gpl|general public licen[cs]e)(?: \w+){0,3}? ?(?:version |v)?3(?: 0)?", r"gpl 3 0(?: only| or later)?"),
+    ("gpl-2", "general public|gpl|gpl2|gpl3|gplv2|gplv3|gplversion", r"(?:gnu (?:general public licen[cs]e|gpl)|gpl|general public licen[cs]e)(?: \w+){0,3}? ?(?:version |v)?2(?: 0)?", r"gpl 2 0(?: only| or later)?"),
+    ("gpl", "general public|gpl|gpl2|gpl3|gplv2|gplv3|gplversion", r"(?:gnu general public licen[cs]e|gnu gpl|gpl)", r"gpl 1 0(?: only| or later)?"),
+    ("isc", "isc|internet systems", r"(?:isc licen[cs]e|internet systems consortium licen[cs]e)", r"isc"),
+    ("lgpl-3", "lesser|library|lgpl|lgpl2|lgpl3|lgplv2|lgplv3|lgplv", r"(?:gnu (?:lesser general public licen[cs]e|lgpl)|lgpl)(?: version| ?v)? ?3(?: 0)?", r"lgpl 3 0(?: only| or later)?"),
+    ("lgpl-2.1", "lesser|library|lgpl|lgpl2|lgpl3|lgplv2|lgplv3|lgplv", r"(?:gnu (?:lesser general public licen[cs]e|lgpl)|lgpl)(?: version| ?v)? ?2 1", r"lgpl 2 1(?: only| or later)?"),
+    ("lgpl-2", "lesser|library|lgpl|lgpl2|lgpl3|lgplv2|lgplv3|lgplv", r"(?:gnu (?:library general public licen[cs]e|lgpl)|lgpl)(?: version| ?v)? ?2(?: 0)?", r"lgpl 2 0(?: only| or later)?"),
+    ("lgpl", "lesser|library|lgpl|lgpl2|lgpl3|lgplv2|lgplv3|lgplv", r"(?:gnu (?:lesser|library) general public licen[cs]e|gnu lgpl|lgpl)", None),
+    ("libpng", "libpng|png reference", r"(?:libpng licen[cs]e|png reference library licen[cs]e)", r"libpng(?: 2 0)?"),
     ("lppl-1.3c", "lppl|latex project", r"(?:latex project public licen[cs]e|lppl)", r"lppl 1 (?:0|1|2|3a|3c)"),
     ("mit-0", "mit", r"mit no attribution(?: licen[cs]e)?", r"mit 0"),
     ("mit", "mit|expat", r"(?:the )?(?:mit|expat) licen[cs]e", r"mit"),
-    ("mpl-1.1", "mozilla|mpl", r"(?:mozilla public licen[cs]e|mpl)(?: version| v)? ?1 [01]", r"mpl 1 [01]"),
-    ("mpl-2", "mozilla|mpl", r"(?:mozilla public licen[cs]e|mpl)(?: version| v)? ?2(?: 0)?", r"mpl 2 0(?: no copyleft exception)?"),
-    ("mpl", "mozilla|mpl", r"mozilla public licen[cs]e", None),
+    ("mpl-1.1", "mozilla|mpl|mpl1|mpl2|mplv|mplv1|mplv2", r"(?:mozilla public licen[cs]e|mpl)(?: version| ?v)? ?1 [01]", r"mpl 1 [01]"),
+    ("mpl-2", "mozilla|mpl|mpl1|mpl2|mplv|mplv1|mplv2", r"(?:mozilla public licen[cs]e|mpl)(?: version| ?v)? ?2(?: 0)?", r"mpl 2 0(?: no copyleft exception)?"),
+    ("mpl", "mozilla|mpl|mpl1|mpl2|mplv|mplv1|mplv2", r"mozilla public licen[cs]e", None),
     ("ms-pl", "microsoft|ms pl", r"(?:microsoft public licen[cs]e)", r"ms pl"),
     ("ms-rl", "microsoft|ms rl", r"(?:microsoft reciprocal licen[cs]e)", r"ms rl"),
     ("mulanpsl-2", "mulan|mulanpsl", r"mulan (?:permissive software licen[cs]e|psl)", r"mulanpsl [12] 0"),
@@ -85,7 +85,7 @@ NAMES = (
     ("pddl-1", "pddl|open data commons", r"(?:pddl|open data commons public domain dedication(?: and licen[cs]e)?)", r"pddl 1 0"),
     ("php-3", "php", r"php licen[cs]e", r"php 3 0[01]?"),
     ("postgresql", "postgresql", r"postgresql licen[cs]e", r"postgresql"),
-    ("psf-2", "python", r"(?:python software foundation licen[cs]e|psf licen[cs]e|python licen[cs]e)", r"(?:psf|python) 2 0"),
+    ("psf-2", "python|psf", r"(?:python software foundation licen[cs]e|psf licen[cs]e|python licen[cs]e)", r"(?:psf|python) 2 0"),
     ("ql-1", "q public|qpl", r"q public licen[cs]e", r"qpl 1 0"),
     ("rail", "openrail|open rail|openrail m|responsible ai", r"(?:open ?rail(?: m)?|responsible ai licen[cs]e)", None),
     ("sspl-1", "sspl|server side", r"(?:server side public licen[cs]e|sspl)", r"sspl 1 0"),
