@@ -461,13 +461,23 @@ def kfold_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.folds(V.lines(spark, sf_dir).select(F.col("doc_id").alias("cv_key")))
 
 
+def _model_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Blocks of all documents, and the gold labels of their lines."""
+    blocks = V.text_blocks(spark, sf_dir)
+    return blocks, V.gold(spark, sf_dir).join(blocks.select("doc_id", "pos"), ["doc_id", "pos"])
+
+
 @_query()
 def rf_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both forests fitted on the gold labels of the even folds, and predictions for all documents."""
-    blocks, gold = V.text_blocks(spark, sf_dir), V.gold(spark, sf_dir).join(V.text_blocks(spark, sf_dir).select("doc_id", "pos"), ["doc_id", "pos"])
-    even = model.folds(gold.select(F.col("doc_id").alias("cv_key"))).where("fold % 2 = 0").select(F.col("cv_key").alias("doc_id"))
-    models = model.train(blocks.join(even, "doc_id"), gold.join(even, "doc_id"), "text_contract", settings=model.Settings(trees=20, depth=8))
-    return model.predict(blocks, models)
+    """Both forests fitted on the gold labels of all documents, and predictions for all of them."""
+    blocks, gold = _model_input(spark, sf_dir)
+    return model.predict(blocks, model.train(blocks, gold, "text_contract"))
+
+
+@_query()
+def k_fold_train_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions for the documents of each of five folds by forests fitted on the other four."""
+    return model.cross_predict(*_model_input(spark, sf_dir), "text_contract")
 
 
 # other sources
