@@ -50,6 +50,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def with_values(rows: DataFrame, values: DataFrame, key: str, weight: str, share: int = 1000) -> DataFrame:
+    """rows left join values on `key`; values has one row for each key, and in `weight` how many rows have it.
+
+    Keys of more than one in `share` rows, of which there are `share` at most, are broadcast and their rows stay where they
+    are; the others are joined by a shuffle, where no key is hot then.
+    """
+    total = values.agg(F.sum(weight)).first()[0] or 0
+    hot = values.where(F.col(weight) * share > total)
+    names = [c for c in values.columns if c != key]
+    first = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    rest = first.where("_hot IS NULL").drop(*names, "_hot").join(values, key, "left")
+    return first.where("_hot").drop("_hot").unionByName(rest)
+
+
 def id_crc(column: str = "doc_id") -> Column:
     """crc32 of the id written as text; null for a null id."""
     return F.crc32(F.col(column).cast("string"))

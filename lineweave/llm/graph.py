@@ -9,28 +9,25 @@ from .common import cut
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """edges(a long, b long) -> (node, component): the smallest node reachable, for every node that has an edge.
+    """edges(a, b) of any type with an order -> (node, component): the smallest node reachable, for every node with an edge.
 
-    Each round is two grouped minima and two equi-joins on node keys, so a hub is pre-aggregated before the shuffle and
-    its join side may be split by adaptive execution; nothing comes to the driver but two sums. Every round is cut to the
-    shared folder. Self-loops, repeated edges, nulls: ignored. No edges: an empty result.
+    A round begins with the least neighbour and the number of neighbours of each node. If no node that has a smaller
+    neighbour has another one besides, the edges are stars around the least nodes, which ends the rounds; only that
+    yes or no comes to the driver. Else each edge's upper end is linked to the least neighbour of its lower one (large
+    star), and then the lower neighbours of a node to the least of them (small star). Minima are found map side first, so
+    a hub is never gathered, and joins on a hub can be split by adaptive execution. Rounds are cut to the shared folder.
+    Self-loops, repeated edges, nulls: ignored. No edges: an empty result.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, seen = cut(e), None
+    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(most_rounds):
-        # large star: every neighbour above u is linked to the least of u's neighbours and u
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = e.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.distinct()
+        ends = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = cut(ends.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")))
+        if least.where("m < u AND n > 1").isEmpty():
+            return least.select(F.col("u").alias("node"), F.col("m").alias("component"))
+        # large star: what stands above a node goes to the least of its neighbours and itself
+        large = e.join(least.select(F.col("u").alias("v"), "m"), "v").select("u", F.col("m").alias("v")).distinct()
         # small star: the lower neighbours of u and u itself are linked to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
-        e = cut(small.select("x.u", "x.v").where("u <> v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first()
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        both = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
+        e = cut(both.select("x.u", "x.v").where("u <> v").distinct())
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, prepare, table, texts_of
+from .common import LOWER, cut, prepare, table, texts_of, with_values
 from .graph import components
 
 #: Words of a shingle, seed of its XXH64, and the bits in which linked fingerprints may differ.
@@ -111,66 +111,78 @@ def spanning(v: np.ndarray, fp: np.ndarray, bits: int = BITS) -> list[tuple[int,
     return out
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell (choice, key) -> edges, each end as (v, fp). A cell that goes on in the next batch is carried over."""
-    carry = None
+def _links(cuts: list[int], bits: int = BITS):
+    """Rows (choice, key, fp) sorted by cell -> edges(a, b) of fingerprints; a cell that goes on in the next batch is carried over.
 
-    def cells(choice: np.ndarray, key: np.ndarray, v: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    An edge whose ends also share the cell of an earlier choice is left out, as that cell joins them already.
+    """
+    fields = [np.uint64(m) for m in cuts]
+
+    def cells(choice: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         new = np.flatnonzero(np.r_[True, (choice[1:] != choice[:-1]) | (key[1:] != key[:-1])])
         size = np.diff(np.r_[new, len(key)])
+        cell, wide = np.repeat(new, size), np.repeat(size, size)
         a, b = [], []
-        for d in range(1, 8):  # small cells all at once: rows d apart in one cell
-            first = np.repeat(new, size)[: max(0, len(key) - d)] == np.repeat(new, size)[d:]
-            at = np.flatnonzero(first & (np.repeat(size, size)[: max(0, len(key) - d)] <= 8))
-            at = at[near(fp[at], fp[at + d])]
+        for d in range(1, min(8, len(key))):  # small cells all at once: rows d apart in one cell
+            at = np.flatnonzero((cell[:-d] == cell[d:]) & (wide[:-d] <= 8))
+            at = at[near(fp[at], fp[at + d], bits)]
             a.append(at)
             b.append(at + d)
         for k in np.flatnonzero(size > 8):
             s = slice(new[k], new[k] + size[k])
-            if edges := spanning(np.arange(s.start, s.stop), fp[s]):
+            if edges := spanning(np.arange(s.start, s.stop), fp[s], bits):
                 x = np.array(edges, np.int64)
                 a.append(x[:, 0])
                 b.append(x[:, 1])
-        ends = [np.concatenate(x) for x in (a, b)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for e in ends for x in (v[e], fp.view(np.int64)[e])], ["av", "af", "bv", "bf"])
-
-    for batch in batches:
-        now = [np.asarray(batch.column(c)) for c in ("choice", "key", "v", "fp")]
-        now[3] = now[3].view(np.uint64)
+        one, two = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        unlike, first = popcounts(fp[one]) ^ popcounts(fp[two]), np.full(len(one), len(fields))
+        for k in range(len(fields) - 1, -1, -1):
+            first[(unlike & fields[k]) == 0] = k
+        kept = first == choice[one]
+        return pa.RecordBatch.from_arrays([pa.array(fp[x[kept]].view(np.int64)) for x in (one, two)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = None
+        for batch in batches:
+            now = [np.asarray(batch.column(c)) for c in ("choice", "key", "fp")]
+            now[2] = now[2].view(np.uint64)
+            if carry is not None:
+                now = [np.concatenate(x) for x in zip(carry, now, strict=True)]
+            if not len(now[0]):
+                continue
+            last = int(np.argmax((now[0] == now[0][-1]) & (now[1] == now[1][-1])))
+            carry = [x[last:] for x in now]
+            if last:
+                yield cells(*(x[:last] for x in now))
         if carry is not None:
-            now = [np.concatenate(x) for x in zip(carry, now, strict=True)]
-        if not len(now[0]):
-            continue
-        last = int(np.argmax((now[0] == now[0][-1]) & (now[1] == now[1][-1])))
-        carry = [x[last:] for x in now]
-        if last:
-            yield cells(*(x[:last] for x in now))
-    if carry is not None:
-        yield cells(*carry)
+            yield cells(*carry)
 
+    return run
 
-def links(vertices: DataFrame, n: int) -> DataFrame:
-    """vertices(v long, fp long), fp distinct -> edges(a, b) whose components are those of all links of 4 bits or fewer.
 
-    An end of an edge is struct(v, fp), as vertices with one v may be different ones.
+def links(vertices: DataFrame, n: int) -> DataFrame:
+    """vertices(fp long, distinct, n of them) -> edges(a, b) whose components are those of all links of 4 bits or fewer.
 
     The embedding of a fingerprint is its 32 popcounts; a grid cell is the popcounts of one choice of groups. Cells are
     dealt by (choice, key) and sorted; within one, the Manhattan bound and then the exact distance are tested.
     """
     fp, half, low = F.col("fp"), F.shiftrightunsigned("fp", 1), F.lit(LOW)
     packed = F.shiftleft(fp.bitwiseAND(half).bitwiseAND(low), 1).bitwiseOR(fp.bitwiseXOR(half).bitwiseAND(low))
-    keys = F.array(*[packed.bitwiseAND(F.lit(_signed(m))) for m in masks(groups_for(n))])
-    dealt = vertices.select("v", "fp", F.posexplode(keys).alias("choice", "key"))
-    return dealt.repartition("choice", "key").sortWithinPartitions("choice", "key").mapInArrow(_links, "av long, af long, bv long, bf long").select(F.struct(F.col("av").alias("v"), F.col("af").alias("fp")).alias("a"), F.struct(F.col("bv").alias("v"), F.col("bf").alias("fp")).alias("b"))
+    cuts = masks(groups_for(n))
+    keys = F.array(*[packed.bitwiseAND(F.lit(_signed(m))) for m in cuts])
+    dealt = vertices.select("fp", F.posexplode(keys).alias("choice", "key"))
+    return dealt.repartition("choice", "key").sortWithinPartitions("choice", "key").mapInArrow(_links(cuts), "a long, b long")
 
 
 def _components(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component struct(v, fp)) for every row of docs: the vertex with the smallest doc_id, then fp, of its component."""
+    """(doc_id, fp, root, component_id) for every row of docs: the smallest fingerprint and the smallest doc_id of its component."""
     fps = cut(fingerprints(docs))
-    vertices = cut(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("v")))
-    found = components(links(vertices, vertices.count()))
-    found = vertices.select(F.struct("v", "fp").alias("node")).join(found, "node", "left").select(F.col("node.fp").alias("fp"), F.coalesce("component", "node").alias("component"))
-    return fps.join(found, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component"))
+    vertices = cut(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")))
+    found = components(links(vertices.select("fp"), vertices.count()))
+    rooted = cut(vertices.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "v", "n", F.coalesce("component", "fp").alias("root")))
+    least = cut(rooted.groupBy("root").agg(F.min("v").alias("component_id"), F.count("*").alias("members")))
+    named = with_values(rooted, least, "root", "members").select("fp", "n", "root", "component_id")
+    return with_values(fps, named, "fp", "n").select("doc_id", "fp", *[F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("root", "component_id")])
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -182,7 +194,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     Fingerprint 0 (null, empty, blank texts) is linked like any other. Empty input: empty result. Other columns: ignored.
     """
     prepare(docs.sparkSession)
-    return _components(docs).select("doc_id", "fp", F.col("component.v").alias("component_id"))
+    return _components(docs).select("doc_id", "fp", "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +209,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     again keeps the same one. Only rows whose doc_id is repeated are fingerprinted again, to find their components.
     """
     prepare(docs.sparkSession)
-    found = _components(docs).where("doc_id IS NOT NULL").withColumn("least", F.col("doc_id") == F.col("component.v"))
+    found = _components(docs).where("doc_id IS NOT NULL").withColumn("least", F.col("doc_id") == F.col("component_id"))
     ids = cut(found.groupBy(F.col("doc_id").alias("keep__id")).agg(F.count("*").alias("n"), F.max("least").alias("least")).where("least"))
     once, often = ids.where("n = 1").select("keep__id"), ids.where("n > 1").select("keep__id")
     key = docs["doc_id"].cast("long")
@@ -206,9 +218,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         return kept
     names = docs.columns
     # fingerprints of the repeated ids that are kept, each once, with its component
-    own = cut(found.where("least").join(often, F.col("doc_id") == F.col("keep__id"), "left_semi").select(F.col("doc_id").alias("id"), "fp", "component").distinct())
+    own = cut(found.where("least").join(often, F.col("doc_id") == F.col("keep__id"), "left_semi").select(F.col("doc_id").alias("id"), "fp", "root").distinct())
     rows = docs.join(often, key == often["keep__id"], "left_semi")
     rows = rows.select(key.alias("id"), rows["text"].cast("string").alias("text"), F.struct(*[rows[c].alias(f"c{k}") for k, c in enumerate(names)]).alias("row"))
     marked = rows.mapInArrow(_marked, f"id long, text string, row {rows.schema['row'].dataType.simpleString()}, fp long").join(own, ["id", "fp"])
-    best = marked.groupBy("id", "component").agg(F.max_by("row", F.struct("text", F.to_json("row"))).alias("row"))
+    best = marked.groupBy("id", "root").agg(F.max_by("row", F.struct("text", F.to_json("row"))).alias("row"))
     return kept.unionByName(best.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(names)]))
