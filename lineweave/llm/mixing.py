@@ -128,6 +128,6 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def in_mixed_order(docs: DataFrame, weights: dict[str | None, float] | None = None) -> DataFrame:
-    """All rows and columns of docs, sorted by their slots."""
+    """All rows and columns of docs, sorted by their slots; empty documents, which share their start, by doc_id."""
     slot, start = free_name(docs, "slot"), free_name(docs, "start")
-    return mixed(docs, weights).orderBy(slot, start).select(*docs.columns)
+    return mixed(docs, weights).orderBy(slot, start, F.length("text"), "doc_id").select(*docs.columns)

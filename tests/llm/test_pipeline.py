@@ -47,8 +47,24 @@ def test_stages(spark, sf):
     assert docs.where("round_trip").count() == len(kept["tokens"])
 
 
-def test_run(spark, sf):
-    assert corpus_pipeline.run(spark, sf).count() == 270
+def test_run_keeps_the_mix(spark, sf):
+    """Read in the order of (part, piece, row), documents come by slot and start; without the mixing stage they do not."""
+    from lineweave.llm import mixing
+
+    rows = corpus_pipeline.run(spark, sf).orderBy("part", "piece", "row").select("doc_id").collect()
+    assert len(rows) == 270
+    kept = spark.read.parquet(f"{sf}/documents.parquet").join(spark.createDataFrame([(r["doc_id"],) for r in rows], "doc_id long"), "doc_id")
+    due = [r["doc_id"] for r in mixing.mixed(kept).orderBy("slot", "start").collect()]
+    assert [r["doc_id"] for r in rows] == due
+    unmixed = spark.read.parquet(f"{sf}/out/near_duplicates")
+    as_read = [r["doc_id"] for r in corpus_pipeline.tokens(spark, unmixed, sf).orderBy("part", "piece", "row").collect()]
+    assert sorted(as_read) == sorted(due) and as_read != due
+
+
+def test_tokens_of_a_table_in_memory(spark, sf):
+    docs = spark.createDataFrame([(1, "a b", "en", "s"), (2, None, None, None)], "doc_id long, text string, lang string, source string")
+    rows = corpus_pipeline.tokens(spark, docs, sf).orderBy("part", "piece", "row").collect()
+    assert [(r["doc_id"], r["part"], r["piece"], r["round_trip"]) for r in rows] == [(1, 0, 0, True), (2, 0, 0, None)]
 
 
 def test_registered(spark):
