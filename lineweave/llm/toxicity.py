@@ -1,16 +1,17 @@
 """Operator 7, toxicity: a subsequence string-kernel support vector machine with Nyström landmarks.
 
 The kernel of two words sums, over the gapped letter triples that both hold, the products of their weights (DECAY for
-each letter skipped), and is normalised. Marks between letters are no letters, so `id-i.ot` is `idiot`, and an inserted
-letter leaves most triples as they are. A linear function of kernels with landmarks is one weight for each triple, so a
-text is scored by table look-ups over its bytes; a document's score is that of its worst word.
+each letter skipped), and is normalised. Marks between letters are no letters, so `id-i.ot` is `idiot`; single letters
+in a row are one word, so `i d i o t` is as well; an inserted letter leaves most triples as they are. The machine is
+trained on labelled sentences, a sentence being the kernel map of its worst word under the machine fitted so far (a latent
+support vector machine). A linear function of kernels with landmarks is one weight for each triple, so a text is scored
+by table look-ups over its bytes; a document's score is that of its worst word.
 """
 
 from __future__ import annotations
 
 import re
-import sys
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,11 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_crc, prepare, slices, table
+from .common import cut, id_crc, prepare, slices, table
 
-#: Labelled documents that the model is fitted on at most.
-TOXIC, CLEAN = 3000, 6000
-LANDMARKS, DECAY, COST = 320, 0.6, 20.0
+#: Labelled documents that the model is fitted on at most, and the bytes of their texts (toxic, clean).
+TOXIC, CLEAN, TOXIC_BYTES, CLEAN_BYTES = 3000, 6000, 8 << 20, 16 << 20
+LANDMARKS, DECAY, COST, MILD = 320, 0.6, 20.0, 3000
 GAPS = ((1, 1), (1, 2), (2, 1), (2, 2))
 SPACE = 31
 FLOOR = -2.0  # the decision of a text without words
@@ -48,6 +49,7 @@ CLASS = _classes()
 TO_LETTERS = bytes(32 if x == SPACE else 96 + x if x else 0 for x in CLASS.tolist())
 SKIPPED = bytes(b for b in range(256) if CLASS[b] == 0)
 SENTENCE = re.compile(rb"[.!?]\s+|[\r\n]+")
+SPACED = re.compile(rb"(?:(?<= )|^)[a-z](?: [a-z])+(?= |$)")
 
 
 def stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,6 +63,12 @@ def stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     at[offsets[:-1] + np.arange(rows)] = np.arange(rows)
     keep = c != 0
     c, at = c[keep], at[keep]
+    space = np.flatnonzero(c == SPACE)
+    single = np.diff(np.r_[space, len(c)]) == 2
+    if both := np.flatnonzero(single[1:] & single[:-1] & (at[space[1:]] == at[space[:-1]])).tolist():
+        keep = np.ones(len(c), bool)
+        keep[space[1:][both]] = False  # single letters in a row are one word
+        c, at = c[keep], at[keep]
     space = c == SPACE
     return c, np.cumsum(space, dtype=np.int32) - 1, at[space]
 
@@ -170,101 +178,175 @@ def _tested(a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
     return np.where(a > n * p, g, 0)
 
 
-def telling_words(toxic_docs: list[set[str]], counts: list[Counter[str]]) -> list[str]:
-    """Words of toxic documents that hold a part (a word's start or any 4 to 6 letters) which clean ones do not hold.
+def _parts(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code, word) of the parts of words: the whole, and any 4 to 6 letters of it with its start marked. Codes are exact but for the whole's."""
+    data, offsets = _packed(words)
+    c = np.insert(data & 31, offsets[:-1], 27).astype(np.int64)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(offsets) + 1)
+    code, owner = [np.array([xxhash.xxh64_intdigest(w.encode()) >> 2 for w in words], np.int64)], [np.arange(len(words), dtype=np.int32)]
+    for n in (4, 5, 6):
+        m = len(c) - n + 1
+        if m > 0:
+            inside = word[:m] == word[n - 1 :]
+            code.append((sum(c[k : k + m] << 5 * (n - 1 - k) for k in range(n)) | np.int64(n) << 32)[inside])
+            owner.append(word[:m][inside])
+    return np.concatenate(code), np.concatenate(owner)
+
+
+def _rows_of(starts: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """The places starts[k] to starts[k + 1] of each k of some, one after another."""
+    size = starts[some + 1] - starts[some]
+    return np.arange(size.sum()) + np.repeat(starts[some] - (np.cumsum(size) - size), size)
 
-    A part must be in more toxic documents than chance explains, given how many parts are tried, by words that no better
-    part accounts for; so what merely stands beside an insult is not taken for one.
-    """
 
-    def parts(w: str) -> set[str]:
-        return {w, *(f"^{w}"[k : k + n] for n in (4, 5, 6) for k in range(len(w) + 2 - n))}
+def telling_words(words: list[str], toxic_docs: list[np.ndarray], clean: np.ndarray) -> list[int]:
+    """Words (as places in words) of toxic documents that hold a part which clean ones hardly hold, most documents first.
 
+    toxic_docs: the distinct words of each toxic document; clean: how many clean documents hold a word. A part must be in
+    more toxic documents than chance explains, given how many parts are tried, by words that no better part accounts for;
+    so what merely stands beside an insult is not taken for one. A word may be in a few clean documents too.
+    """
+    bad_docs = np.bincount(np.concatenate(toxic_docs), minlength=len(words))
+    own = np.flatnonzero(bad_docs)
+    code, owner = _parts([words[k] for k in own])
+    order = np.argsort(owner, kind="stable")
+    code, starts = code[order], np.r_[0, np.cumsum(np.bincount(owner, minlength=len(own)))]
+    place = np.full(len(words), -1)
+    place[own] = np.arange(len(own))
     # a first pass over hashed parts tells which may be in more than 3 documents, so that the rest are never held
-    rough = np.zeros(1 << 23, np.int16)
+    rough, mask, each = np.zeros(1 << 22, np.int32), (1 << 22) - 1, []
+    mixed = lambda x: (x * 0x9E3779B1 >> 7) & mask
+    for ws in toxic_docs:
+        rough[np.unique(mixed(code[_rows_of(starts, place[ws])]))] += 1
     for ws in toxic_docs:
-        rough[np.fromiter({hash(p) & 0x7FFFFF for w in ws for p in parts(w)}, np.int64)] += 1
-    a: Counter[str] | dict[str, int] = Counter(p for ws in toxic_docs for p in {p for w in ws for p in parts(w) if rough[hash(p) & 0x7FFFFF] > 3})
-    a = {p: n for p, n in a.items() if n > 3}
-    b: Counter[str] = Counter()
-    for w, n in counts[0].items():
-        for p in parts(w):
-            if p in a:
-                b[p] += n
-    share = len(toxic_docs) / (len(toxic_docs) + counts[0].total() / max(1, counts[1].total()) * len(toxic_docs))
-    bar = 2 * np.log(max(2, len(a))) + 2
-    names = list(a)
-    g = _tested(np.array([a[p] for p in names], float), np.array([b[p] for p in names], float), share)
-    pure = [(-x, p) for x, p in zip(g.tolist(), names, strict=True) if x > bar and b[p] * share <= 0.02 * a[p]]
-    of: dict[str, list[str]] = {p: [] for _, p in pure}
-    where: dict[str, set[int]] = {}
-    for k, ws in enumerate(toxic_docs):
-        for w in ws:
-            if w in where:
-                where[w].add(k)
-            elif not counts[0][w] and (own := [p for p in parts(w) if p in of]):
-                where[w] = {k}
-                for p in own:
-                    of[p].append(w)
-    bad: dict[str, None] = {}
-    for _, p in sorted(pure):
-        left = [w for w in of[p] if w not in bad]
-        n = len(set().union(*(where[w] for w in left)))
-        if n and _tested(np.array([n], float), np.array([b[p]], float), share)[0] > bar and b[p] * share <= 0.02 * n:
-            bad |= dict.fromkeys(sorted(left, key=lambda w: (-len(where[w]), w)))
-    return sorted(bad, key=lambda w: (-len(where[w]), w))
-
-
-def fit(texts: pa.Array, toxic: list[int]) -> ToxicityModel:
+        x = np.unique(code[_rows_of(starts, place[ws])])
+        each.append(x[rough[mixed(x)] > 3])
+    names, a = np.unique(np.concatenate(each), return_counts=True)
+    names, a = names[a > 3], a[a > 3].astype(float)
+    del each, rough
+    if not len(names):
+        return []
+    b, held = np.zeros(len(names)), np.flatnonzero(clean)
+    for k in range(0, len(held), 10000):
+        some = held[k : k + 10000]
+        x, o = _parts([words[i] for i in some])
+        at = np.minimum(np.searchsorted(names, x), len(names) - 1)
+        pair = np.unique((o.astype(np.int64) * len(names) + at)[names[at] == x])
+        np.add.at(b, pair % len(names), clean[some[pair // len(names)]])
+    share = bad_docs.sum() / (bad_docs.sum() + clean.sum())
+    bar = 2 * np.log(max(2, len(names))) + 2
+    g = _tested(a, b, share)
+    pure = np.flatnonzero((g > bar) & (b * share <= 0.02 * a))
+    pure = pure[np.lexsort((names[pure], -g[pure]))]
+    fine = clean[own] * share <= 0.005 * bad_docs[own]
+    owner = np.sort(owner)
+    of = {p: sorted({int(k) for k in owner[code == names[p]] if fine[k]}) for p in pure.tolist()}
+    where: dict[int, set[int]] = {k: set() for ks in of.values() for k in ks}
+    for d, ws in enumerate(toxic_docs):
+        for k in place[ws].tolist():
+            if k in where:
+                where[k].add(d)
+    bad: dict[int, None] = {}
+    for p in pure.tolist():
+        left = [k for k in of[p] if k not in bad]
+        n = len(set().union(*(where[k] for k in left)))
+        if n and _tested(np.array([n], float), b[p : p + 1], share)[0] > bar and b[p] * share <= 0.02 * n:
+            bad |= dict.fromkeys(left)
+    return [int(own[k]) for k in sorted(bad, key=lambda k: (-len(where[k]), words[own[k]]))]
+
+
+class _Sentences:
+    """Labelled sentences as their words, numbered by first appearance; one that both kinds hold is a clean one.
+
+    clean, toxic: words of all sentences one after another, and where each sentence starts; docs: distinct words of each
+    toxic document. A document of which under half the sentences are new among its kind is a copy and counts no more.
+    """
+
+    def __init__(self, texts: pa.Array, toxic: list[int]) -> None:
+        number: dict[str, int] = {}
+        self.flat, self.starts = (array("i"), array("i")), (array("q", [0]), array("q", [0]))
+        self.docs: list[np.ndarray] = []
+        clean_docs, seen = array("i"), (set(), set())
+        for k in np.argsort(np.array(toxic), kind="stable").tolist():
+            y = toxic[k]
+            own = {xxhash.xxh64_intdigest(x): x for x in (s.translate(TO_LETTERS, SKIPPED) for s in SENTENCE.split(texts[k].as_py().encode()))}
+            fresh = sum(h not in seen[y] for h in own)
+            new = [x for h, x in own.items() if h not in seen[0]]  # an insult may stand in many documents word for word
+            seen[y].update(own)
+            if 2 * fresh <= len(own):
+                continue
+            words: set[int] = set()
+            for x in new:
+                ids = {number.setdefault(w, len(number)) for w in SPACED.sub(lambda m: m[0].replace(b" ", b""), x).decode("ascii").split() if len(w) > 2}
+                if ids:
+                    words |= ids
+                    self.flat[y].extend(sorted(ids))
+                    self.starts[y].append(len(self.flat[y]))
+            if y and words:
+                self.docs.append(np.array(sorted(words), np.int32))
+            elif words:
+                clean_docs.extend(words)
+        self.words = list(number)
+        self.clean_docs = np.bincount(np.array(clean_docs, np.int64), minlength=len(number))
+
+    def witnesses(self, y: int, decision: np.ndarray) -> np.ndarray:
+        """The worst words of the sentences of one kind, each once; ties: the word seen first."""
+        flat, starts = np.asarray(self.flat[y]), np.asarray(self.starts[y])
+        if len(starts) < 2:
+            return np.zeros(0, np.int64)
+        worst = np.maximum.reduceat(decision[flat], starts[:-1])
+        hit = np.flatnonzero(decision[flat] == np.repeat(worst, np.diff(starts)))
+        first = hit[np.searchsorted(hit, starts[:-1])]
+        return np.unique(flat[first])
+
+
+def fit(texts: pa.Array, toxic: list[int], rounds: int = 6) -> ToxicityModel:
     """Learn from labelled documents, whose sentences bear their label; a sentence that both kinds hold is a clean one.
 
-    A document of which under half the sentences are new is a copy and counts no more.
+    Which sentences of a toxic document are toxic is not labelled: those that hold a telling word are. Each round, every
+    toxic and every clean sentence is the kernel map of its worst word, and the machine is fitted on them all: equal maps
+    count once, so that repeated sentences weigh nothing, both labels weigh the same, and of the clean sentences those are
+    held that were within the margin in some round (the others' loss is zero), MILD more a round at most. Clean sentences whose worst word is a telling one are taken for mislabelled. It ends
+    when no worst word changes any more, or after some rounds. No toxic or no clean sentence: every text has the share of
+    label 1.
     """
-    toxic_docs: list[set[str]] = []
-    counts: list[Counter[str]] = [Counter(), Counter()]
-    seen_sentences: set[int] = set()
-    clean_sentences: set[int] = set()
-    for k in np.argsort(np.array(toxic), kind="stable").tolist():
-        y = toxic[k]
-        own = {xxhash.xxh64_intdigest(x): x for x in (s.translate(TO_LETTERS, SKIPPED) for s in SENTENCE.split(texts[k].as_py().encode()))}
-        fresh = sum(h not in seen_sentences and h not in clean_sentences for h in own)
-        new = [h for h in own if h not in clean_sentences]  # an insult may stand in many documents word for word
-        (seen_sentences if y else clean_sentences).update(new)
-        if 2 * fresh > len(own):
-            words = {sys.intern(w) for h in new for w in own[h].decode("ascii").split() if len(w) > 2}
-            counts[y].update(words)
-            if y:
-                toxic_docs.append(words)
     model = ToxicityModel(shift=float(np.log((sum(toxic) + 1) / (len(toxic) - sum(toxic) + 1)) if toxic else -2))
-    if not toxic_docs or not counts[0]:
-        return model
-    bad = telling_words(toxic_docs, counts)[:3000]
-    if not bad:
+    s = _Sentences(texts, toxic)
+    if not s.docs or not s.clean_docs.any() or not (bad := telling_words(s.words, s.docs, s.clean_docs)):
         return model
-    good = sorted(counts[0], key=lambda w: (-counts[0][w], w))
-    rng = np.random.default_rng(7)
-    del toxic_docs, counts
-    few = [good[k] for k in sorted(set(range(min(1500, len(good)))) | set(rng.integers(0, len(good), 3000).tolist()))]
-    for _ in range(4):
-        marks = bad[: LANDMARKS // 2]
-        marks = marks + few[-LANDMARKS + len(marks) :]
-        m, place = _maps(marks)
+    words = s.words
+    good = np.setdiff1d(np.flatnonzero(s.clean_docs), bad)
+    often = good[np.lexsort((good, -s.clean_docs[good]))]
+    spread = np.random.default_rng(7).permutation(often)
+    telling = np.zeros(len(words), bool)
+    telling[bad] = True
+    # the first decision of a word is its mean kernel with the telling words
+    m, place = _maps([words[k] for k in bad[:LANDMARKS]])
+    model.weights, model.bias = m.mean(axis=1)[place], 0.0
+    decision, mild, known = _decisions(model, words), np.zeros(0, np.int64), None
+    for _ in range(rounds):
+        clean, ill = (s.witnesses(y, np.where(telling == y, decision, -np.inf)) for y in (0, 1))
+        clean, ill = clean[~telling[clean]], ill[telling[ill]]
+        now = np.r_[ill, -1 - clean]
+        if known is not None and np.array_equal(known, now):
+            break
+        known = now
+        clean = clean[np.argsort(-decision[clean], kind="stable")[:MILD]]
+        mild = np.unique(np.r_[mild, clean if not len(mild) else clean[decision[clean] > -1]])
+        hard = mild[np.argsort(-decision[mild], kind="stable")[: LANDMARKS // 4]]
+        marks = dict.fromkeys([*bad[: LANDMARKS // 2], *hard.tolist(), *spread.tolist()])
+        m, place = _maps([words[k] for k in list(marks)[:LANDMARKS]])
         values, vectors = np.linalg.eigh((m.T @ m).astype(np.float64))
         some = values > 1e-6 * values.max()
         root = vectors[:, some] / np.sqrt(values[some])
-        z = _kernels(bad + few, m, place) @ root
-        y = np.r_[np.ones(len(bad)), -np.ones(len(few))]
-        w = _svm(z, y, np.r_[np.full(len(bad), 1 / len(bad)), np.full(len(few), 1 / len(few))] * 2000)
+        z = _kernels([words[k] for k in np.r_[ill, mild]], m, place) @ root
+        y = np.r_[np.ones(len(ill)), -np.ones(len(mild))]
+        w = _svm(z, y, np.r_[np.full(len(ill), 2000 / len(ill)), np.full(len(mild), 2000 / len(mild))])
         model.weights, model.bias = (m @ (root @ w[:-1]))[place], float(w[-1])
-        decision = _decisions(model, good)
-        seen = set(few)
-        hard = [good[k] for k in np.argsort(-decision)[:1500].tolist() if decision[k] > -0.9 and good[k] not in seen]
-        if not hard:
-            break
-        few = few + hard[::-1]
+        decision = _decisions(model, words)
     # the threshold lies between the worst clean word and the mildest bad one; the slope is a logistic regression's
-    mildest = float(model.worst(*_packed(bad)).min())
-    middle = min(0.35, max(0.0, (float(decision.max()) + mildest) / 2))
+    middle = min(0.35, max(0.0, (float(decision[good].max(initial=0.0)) + float(decision[bad].min())) / 2))
+    del s, words
     y = np.array(toxic)
     x = np.concatenate([model.worst(d, o) for _, _, d, o in slices(texts)]) - middle
     n1, n0 = max(1, y.sum()), max(1, (1 - y).sum())
@@ -283,8 +365,9 @@ def fit(texts: pa.Array, toxic: list[int]) -> ToxicityModel:
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[pa.Array, list[int]]:
     """At most about TOXIC and CLEAN labelled documents (remainder not 0), chosen by a hash of the id, whole texts.
 
-    Null ids, texts and labels are left out; several labels of an id count as their largest. Only the two counts and the
-    sampled rows come to the driver; the sampled labels are broadcast, their number being bounded.
+    Of these, in the order of a hash, as many as have TOXIC_BYTES and CLEAN_BYTES of text at most. Null ids, texts and
+    labels are left out; several labels of an id count as their largest. Only the two counts, the sizes of the sampled rows
+    and the texts chosen come to the driver; the sampled labels are broadcast, their number being bounded.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(id_crc() % 5 != 0).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -292,10 +375,18 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[pa.Array, list[int]]:
     share = F.when(F.col("toxic") == 1, min(1.0, TOXIC / max(1, counts.get(1, 0)))).otherwise(min(1.0, CLEAN / max(1, counts.get(0, 0))))
     chosen = known.where(unit < share).select(F.col("doc_id").alias("labelled_id"), "toxic")
     few = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    rows = few.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id")).select("text", "toxic", "doc_id").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
-    texts = rows.column("text")
-    return texts.chunk(0) if texts.num_chunks else pa.array([], pa.string()), rows.column("toxic").to_pylist()
+    rows = cut(few.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "toxic", "text", F.xxhash64("doc_id", "text").alias("h"), F.octet_length("text").alias("bytes")))
+    sizes, ends = rows.select("h", "toxic", "bytes").orderBy("h").toArrow().to_pydict(), {}
+    held = {0: 0, 1: 0}
+    for h, toxic, size in zip(*sizes.values(), strict=True):
+        held[toxic] += size
+        if held[toxic] > (TOXIC_BYTES if toxic else CLEAN_BYTES):
+            ends.setdefault(toxic, h)
+    if ends:
+        rows = rows.where(F.coalesce(*[F.when(F.col("toxic") == y, F.col("h") < h) for y, h in ends.items()], F.lit(True)))
+    found = rows.select("text", "toxic", "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+    texts = found.column("text")
+    return texts.chunk(0) if texts.num_chunks else pa.array([], pa.string()), found.column("toxic").to_pylist()
 
 
 def scored(docs: DataFrame, model: ToxicityModel, name: str = "toxicity") -> DataFrame:
