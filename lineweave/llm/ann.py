@@ -1,7 +1,7 @@
 """Operator 3, approximate nearest neighbours: an inverted multi-index over two vector halves.
 
 Unit vectors are cut in two halves, each quantised by its own centroids; a cell is a pair of centroids. A query walks the
-pairs by summed distance with a heap until their cells hold enough vectors, and these are ranked by exact cosine.
+pairs by summed distance with a heap until their cells hold enough vectors, and only these are ranked by exact cosine.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ from .common import cut, prepare, table
 #: Vectors that the centroids are fitted on at most; centroids of a half at most (else there are about as many cells as vectors).
 SAMPLE, MOST_CENTROIDS = 20000, 512
 #: Vectors whose true neighbours set how far queries walk, the share of these that must be met, and vectors of a bucket at most.
-PROBES, RECALL, BUCKET = 128, 0.95, 2048
+PROBES, RECALL, BUCKET = 256, 0.97, 512
+#: Queries that meet a bucket's vectors in one task at most, and queries whose walks are one task.
+ASKED, WALKS = 4096, 64
 #: Places kept of each query while parts are merged: 5 and the query's own, twice for ids that are there twice.
 PLACES = 12
 
@@ -128,18 +130,30 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
-def _ranked(queries: np.ndarray, entries: np.ndarray, ids: list[list[int]]) -> Iterator[tuple[int, float, int]]:
-    """(query row, cosine, id): for each query at least the PLACES best ids, by exact cosine."""
-    qu, eu = unit(queries), unit(entries)
-    for lo in range(0, len(queries), 512):
-        s = qu[lo : lo + 512] @ eu.T
+def _ranked(queries: np.ndarray, walked: list[np.ndarray], entries: np.ndarray, cells: np.ndarray, ids: list[list[int]]) -> Iterator[tuple[int, float, int]]:
+    """(query row, cosine, id): for each query at least the PLACES best ids of the cells that it walked, by exact cosine."""
+    order = np.argsort(cells, kind="stable")
+    own, starts, sizes = np.unique(cells[order], return_index=True, return_counts=True)
+    qu, eu = unit(queries), unit(entries)[order]
+    # cells of the bucket, with the queries that walked each
+    size = np.array([len(w) for w in walked])
+    asker, at = np.repeat(np.arange(len(queries)), size), np.searchsorted(own, np.concatenate(walked))
+    by = np.argsort(at, kind="stable")
+    asker, ends = asker[by], np.r_[0, np.cumsum(np.bincount(at, minlength=len(own)))]
+    for lo in range(0, len(queries), 1024):
+        s = np.full((min(1024, len(queries) - lo), len(entries)), -np.inf)
+        for k, (first, n) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=True)):
+            rows = asker[ends[k] : ends[k + 1]]
+            rows = rows[np.searchsorted(rows, lo) : np.searchsorted(rows, lo + 1024)]
+            if len(rows):
+                s[rows - lo, first : first + n] = qu[rows] @ eu[first : first + n].T
         few = min(PLACES, len(entries))
         best = np.argpartition(-s, few - 1, axis=1)[:, :few]
         bar = np.take_along_axis(s, best, axis=1).min(axis=1) - 1e-12  # rounding must not part equals
         for k in range(len(s)):
-            at = np.flatnonzero(s[k] >= bar[k])
-            exact = cosine(np.broadcast_to(queries[lo + k], (len(at), queries.shape[1])), entries[at])
-            flat = sorted((-x, i) for x, e in zip(exact.tolist(), at.tolist(), strict=True) for i in ids[e])
+            met = order[np.flatnonzero((s[k] >= bar[k]) & (s[k] > -np.inf))]
+            exact = cosine(np.broadcast_to(queries[lo + k], (len(met), queries.shape[1])), entries[met])
+            flat = sorted((-x, i) for x, e in zip(exact.tolist(), met.tolist(), strict=True) for i in ids[e])
             for x, i in flat[:PLACES]:
                 yield lo + k, -x, i
 
@@ -171,12 +185,18 @@ def neighbours(vectors: DataFrame, every: int = 50, nearest: int = 5, recall: fl
     """vectors(vec_id long, embedding array, ...) -> query_id, rank, vec_id, score: the nearest of each vec_id divisible by `every`.
 
     Vectors null, zero, or with null or non-finite components, null ids, and vectors whose length is not the commonest
-    (ties: the shorter) take no part. Equal vectors are one entry with its smallest ids, found map side first, so copies
-    never meet in one task; repeated rows count once; an id with several vectors is searched by, and ranks at, the best
-    of them. Cells of any size are taken whole, in buckets, and a bucket that a walk meets is ranked whole. How far walks
-    go is measured: PROBES vectors are compared with all, and walks take as many candidates as meet the share `recall` of
-    their true neighbours. Empty input or no query: an empty result.
+    (ties: the shorter; no cosine is defined between lengths) take no part. Equal vectors are one entry with its smallest
+    ids, found map side first, so copies never meet in one task; repeated rows count once; an id with several vectors is
+    searched by, and ranks at, the best of them. Cells of any size are indexed whole, in buckets; a query is compared with
+    the vectors of the cells that it walked and no others. How far walks go is measured: PROBES vectors are compared with
+    all, and walks take as many candidates as meet the share `recall` of their true neighbours. A bucket meets ASKED
+    queries at once at most; of more, each part meets a copy of it. Empty input or no query: an empty result.
     """
+    return walked(vectors, every, nearest, recall, bucket)[0]
+
+
+def walked(vectors: DataFrame, every: int = 50, nearest: int = 5, recall: float = RECALL, bucket: int = BUCKET) -> tuple[DataFrame, int, int]:
+    """neighbours(), the candidates that a walk takes, and the distinct vectors there are."""
     spark = vectors.sparkSession
     prepare(spark)
     out = "query_id long, rank int, vec_id long, score double"
@@ -184,14 +204,15 @@ def neighbours(vectors: DataFrame, every: int = 50, nearest: int = 5, recall: fl
     v = v.where("vec_id IS NOT NULL AND v IS NOT NULL AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf')) AND exists(v, x -> x <> 0)")
     lengths = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if lengths is None:
-        return spark.createDataFrame([], out)
+        return spark.createDataFrame([], out), 0, 0
     v = v.where(F.size("v") == lengths["d"]).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit("second"), F.col("v"))})
     rows = v.groupBy("h1", "h2", "vec_id").agg(F.first("v").alias("v"))
     least = rows.withColumn("place", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))).where(F.col("place") <= nearest + 1)
     distinct = cut(least.groupBy("h1", "h2").agg(F.min_by("v", "vec_id").alias("v"), F.sort_array(F.collect_list("vec_id")).alias("ids")))
     n = distinct.count()
     share = F.pmod("h2", F.lit(1 << 20)) < int(min(1.0, 1.2 * SAMPLE / n) * (1 << 20))
-    sampled = np.array([r["v"] for r in distinct.where(share).orderBy("h1", "h2").limit(SAMPLE).select("v").collect()] or [distinct.first()["v"]])
+    few = distinct.where(share).orderBy("h1", "h2").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
+    sampled = _matrix(few if len(few) else distinct.limit(1).select("v").toArrow()["v"].combine_chunks())
     u, half = unit(sampled), (lengths["d"] + 1) // 2
     k = int(min(MOST_CENTROIDS, max(2, round(n**0.5))))
     index = MultiIndex(kmeans(u[:, :half], k), kmeans(u[:, half:], k))
@@ -207,52 +228,58 @@ def neighbours(vectors: DataFrame, every: int = 50, nearest: int = 5, recall: fl
     for r in entries.groupBy("cell").count().collect():  # a row for each cell at most, MOST_CENTROIDS squared
         counts[r["cell"]] = r["count"]
     whole = MultiIndex(index.first, index.second)
-    buckets = whole.deal(counts, bucket)
+    whole.deal(counts, bucket)
     candidates = _enough(entries, whole, sampled[:: max(1, len(sampled) // PROBES)][:PROBES], nearest, recall)
     plan = spark.sparkContext.broadcast(whole)
 
+    asked = rows.where(F.col("vec_id") % every == 0)
+    vectors_asked = cut(asked.groupBy("h1", "h2").agg(F.first("v").alias("v")))
+    n_asked = vectors_asked.count()
+    groups = max(1, -(-n_asked // ASKED))
+
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cell, h = np.asarray(b.column("cell")), np.asarray(b.column("h1"))
             at = plan.value.start[cell] + (h % np.maximum(plan.value.parts[cell], 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), b.column("v"), b.column("ids")], ["bucket", "v", "ids"])
+            for g in range(groups):
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.full(len(at), g, np.int32)), *(b.column(c) for c in ("cell", "v", "ids"))], ["bucket", "part", "cell", "v", "ids"])
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = plan.value
         for b in batches:
-            at, row = [], []
+            part = np.asarray(b.column("h2")) % groups
             for r, x in enumerate(unit(_matrix(b.column("v"))) if b.num_rows else ()):
-                met: set[int] = set()
-                for cell in m.walk(x, candidates):
-                    met.update(range(int(m.start[cell]), int(m.start[cell]) + int(m.parts[cell])))
-                    if len(met) == buckets:
-                        break
-                at += sorted(met)
-                row += [r] * len(met)
-            for lo in range(0, len(at), 4096):
-                some = pa.array(row[lo : lo + 4096], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(at[lo : lo + 4096], pa.int32()), *(b.column(c).take(some) for c in ("h1", "h2", "v"))], ["bucket", "h1", "h2", "v"])
+                cells = np.fromiter(m.walk(x, candidates), np.int32)
+                spread = m.parts[cells]
+                at = np.repeat(m.start[cells], spread) + np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread)
+                cells = np.repeat(cells, spread)
+                order = np.lexsort((cells, at))
+                at, cells = at[order], cells[order]
+                first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(at)].astype(np.int32)), pa.array(cells))
+                same = pa.array(np.full(len(first), r, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(at[first].astype(np.int32)), pa.array(np.full(len(first), part[r], np.int32)), lists, *(b.column(c).take(same) for c in ("h1", "h2", "v"))], ["bucket", "part", "cells", "h1", "h2", "v"])
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple[int, int, float, int]] = []
         if left.num_rows and right.num_rows:
             left, right = left.combine_chunks(), right.combine_chunks()
             h1, h2 = right["h1"].to_pylist(), right["h2"].to_pylist()
-            found = [(h1[k], h2[k], s, i) for k, s, i in _ranked(_matrix(right["v"].chunk(0)), _matrix(left["v"].chunk(0)), left["ids"].to_pylist())]
+            cells, ends = right["cells"].chunk(0), np.asarray(right["cells"].chunk(0).offsets)
+            steps = np.split(np.asarray(cells.values)[ends[0] : ends[-1]], ends[1:-1] - ends[0])
+            found = [(h1[k], h2[k], s, i) for k, s, i in _ranked(_matrix(right["v"].chunk(0)), steps, _matrix(left["v"].chunk(0)), np.asarray(left["cell"].chunk(0)), left["ids"].to_pylist())]
         columns = list(zip(*found, strict=True)) or [()] * 4
         return pa.table({name: pa.array(c, t) for (name, t), c in zip((("h1", pa.int64()), ("h2", pa.int64()), ("score", pa.float64()), ("vec_id", pa.int64())), columns, strict=True)})
 
-    asked = rows.where(F.col("vec_id") % every == 0)
-    vectors_asked = asked.groupBy("h1", "h2").agg(F.first("v").alias("v"))
-    left = entries.mapInArrow(dealt, "bucket int, v array<double>, ids array<long>").groupBy("bucket")
-    right = vectors_asked.mapInArrow(probes, "bucket int, h1 long, h2 long, v array<double>").groupBy("bucket")
+    left = entries.mapInArrow(dealt, "bucket int, part int, cell int, v array<double>, ids array<long>").groupBy("bucket", "part")
+    right = vectors_asked.repartition(max(1, -(-n_asked // WALKS)), "h1").mapInArrow(probes, "bucket int, part int, cells array<int>, h1 long, h2 long, v array<double>").groupBy("bucket", "part")
     found = left.cogroup(right).applyInArrow(rank, "h1 long, h2 long, score double, vec_id long")
     first = Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("place", F.row_number().over(first)).where(F.col("place") <= PLACES)
     pairs = asked.select(F.col("vec_id").alias("query_id"), "h1", "h2").join(found, ["h1", "h2"]).where("vec_id <> query_id")
     pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= nearest).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return ranked.where(F.col("rank") <= nearest).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), candidates, n
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
