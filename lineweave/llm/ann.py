@@ -18,10 +18,10 @@ from pyspark.sql.window import Window
 
 from .common import cut, prepare, table
 
-#: Vectors that the centroids are fitted on at most; centroids of a half at most (else there are about as many cells as vectors).
-SAMPLE, MOST_CENTROIDS = 20000, 512
+#: Vectors that the centroids are fitted on at most; vectors of a cell, if all were alike; centroids of a half at most.
+SAMPLE, CELL, MOST_CENTROIDS = 20000, 64, 512
 #: Vectors whose true neighbours set how far queries walk, the share of these that must be met, and vectors of a bucket at most.
-PROBES, RECALL, BUCKET = 256, 0.97, 512
+PROBES, RECALL, BUCKET = 256, 0.97, 1024
 #: Queries that meet a bucket's vectors in one task at most, and queries whose walks are one task.
 ASKED, WALKS = 4096, 64
 #: Places kept of each query while parts are merged: 5 and the query's own, twice for ids that are there twice.
@@ -214,7 +214,7 @@ def walked(vectors: DataFrame, every: int = 50, nearest: int = 5, recall: float
     few = distinct.where(share).orderBy("h1", "h2").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
     sampled = _matrix(few if len(few) else distinct.limit(1).select("v").toArrow()["v"].combine_chunks())
     u, half = unit(sampled), (lengths["d"] + 1) // 2
-    k = int(min(MOST_CENTROIDS, max(2, round(n**0.5))))
+    k = int(min(MOST_CENTROIDS, max(2, round((n / CELL) ** 0.5))))
     index = MultiIndex(kmeans(u[:, :half], k), kmeans(u[:, half:], k))
     books = spark.sparkContext.broadcast(index)
 
