@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 from collections.abc import Iterator
@@ -50,6 +52,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def with_values(rows: DataFrame, values: DataFrame, key: str, weight: str, share: int = 1000) -> DataFrame:
     """rows left join values on `key`; values has one row for each key, and in `weight` how many rows have it.
 

@@ -21,10 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, id_crc, prepare, slices, table
+from .common import cut, give_back, id_crc, prepare, slices, table
 
 #: Labelled documents that the model is fitted on at most, and the bytes of their texts (toxic, clean).
-TOXIC, CLEAN, TOXIC_BYTES, CLEAN_BYTES = 3000, 6000, 8 << 20, 16 << 20
+TOXIC, CLEAN, TOXIC_BYTES, CLEAN_BYTES = 2000, 4000, 4 << 20, 8 << 20
 LANDMARKS, DECAY, COST, MILD = 320, 0.6, 20.0, 3000
 GAPS = ((1, 1), (1, 2), (2, 1), (2, 2))
 SPACE = 31
@@ -406,7 +406,10 @@ def scored(docs: DataFrame, model: ToxicityModel, name: str = "toxicity") -> Dat
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    return fit(*sample(docs, labels))
+    """The model of a bounded sample, fitted on the driver, which gives the memory back afterwards."""
+    model = fit(*sample(docs, labels))
+    give_back()
+    return model
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
