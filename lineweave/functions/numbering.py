@@ -116,7 +116,7 @@ def candidates(text: str, language: str = "en") -> Column:
 
 def any_next(following: str, before: str) -> Column:
     """Whether some candidate of `following` comes right after some candidate of `before` (columns of candidates)."""
-    return F.expr(f"exists({before}, a -> exists({following}, b -> a.kind = b.kind AND (a.bullet = b.bullet OR a.num + 1 = b.num)))")
+    return F.expr(f"exists({before}, a -> exists({following}, b -> a.kind = b.kind AND coalesce(a.bullet = b.bullet, a.num + 1 = b.num, false)))")
 
 
 _ANY = f"(?:[a-zA-Z]|{ARABIC}|(?:{ROMAN.lower()})|(?:{ROMAN})|(?:[1-9][0-9]*(?:[.-][1-9][0-9]*)*[.-][1-9][0-9]*))"

@@ -104,12 +104,12 @@ def file_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # layout
-def _duck_clusters(value: str, source: str, thresh: float) -> str:
+def _duck_clusters(value: str, source: str, thresh: float, p: str = "") -> str:
     """SQL: (doc_id, k, mn, mx, n, mean) of greedy clusters; each cluster begins at the least value beyond the one before."""
-    return f"""vals AS (SELECT doc_id, CAST({value} AS DOUBLE) AS v, count(*) AS n FROM {source} GROUP BY ALL),
-    cl(doc_id, k, mn) AS (SELECT doc_id, 0, min(v) FROM vals GROUP BY doc_id UNION ALL
-        SELECT cl.doc_id, cl.k + 1, min(vals.v) FROM cl JOIN vals ON vals.doc_id = cl.doc_id AND vals.v - cl.mn > {thresh} GROUP BY ALL),
-    found AS (SELECT cl.doc_id, cl.k, cl.mn, max(v) AS mx, sum(n)::BIGINT AS n, sum(v * n) / sum(n) AS mean FROM cl JOIN vals ON vals.doc_id = cl.doc_id AND vals.v >= cl.mn AND vals.v - cl.mn <= {thresh} GROUP BY ALL)"""
+    return f"""{p}vals AS (SELECT doc_id, CAST({value} AS DOUBLE) AS v, count(*) AS n FROM {source} GROUP BY ALL),
+    {p}cl(doc_id, k, mn) AS (SELECT doc_id, 0, min(v) FROM {p}vals GROUP BY doc_id UNION ALL
+        SELECT c.doc_id, c.k + 1, min(x.v) FROM {p}cl c JOIN {p}vals x ON x.doc_id = c.doc_id AND x.v - c.mn > {thresh} GROUP BY ALL),
+    {p}found AS (SELECT c.doc_id, c.k, c.mn, max(v) AS mx, sum(n)::BIGINT AS n, sum(v * n) / sum(n) AS mean FROM {p}cl c JOIN {p}vals x ON x.doc_id = c.doc_id AND x.v >= c.mn AND x.v - c.mn <= {thresh} GROUP BY ALL)"""
 
 
 def _spread(found: DataFrame, name: str) -> DataFrame:
@@ -153,9 +153,22 @@ def header_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.page_constants(V.boxes(spark, sf_dir)).select("doc_id", "header_thresh", "footer_thresh")
 
 
-@_query()
+_MERGE = """, fr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, ny0, x0, x1, y1, text) - 1 AS i FROM (
+        SELECT doc_id, page, -y0 AS ny0, x0, (x0 + x1) / 2 AS x1, y1, CASE WHEN instr(text, ' ') > 1 THEN substr(text, 1, instr(text, ' ') - 1) ELSE text END AS text, block FROM v_boxes
+        UNION ALL SELECT doc_id, page, -y0, (x0 + x1) / 2 + 6, x1, y1, substr(text, instr(text, ' ') + 1), block FROM v_boxes WHERE instr(text, ' ') > 1)),
+    other AS (SELECT a.doc_id, a.i, min(b.i) AS n FROM fr a JOIN fr b ON b.doc_id = a.doc_id AND b.i > a.i AND b.page <= a.page + 1
+        AND NOT coalesce(a.page = b.page AND (least(a.y1, b.y1) + a.ny0) / nullif(greatest(a.y1, b.y1) + b.ny0, 0) > 0.5, false) GROUP BY ALL),
+    opens(doc_id, i) AS (SELECT doc_id, min(i) FROM fr GROUP BY doc_id UNION ALL SELECT other.doc_id, other.n FROM opens JOIN other ON other.doc_id = opens.doc_id AND other.i = opens.i),
+    gr AS (SELECT fr.*, max(opens.i) OVER (PARTITION BY fr.doc_id ORDER BY fr.i ROWS UNBOUNDED PRECEDING) AS g FROM fr LEFT JOIN opens ON opens.doc_id = fr.doc_id AND opens.i = fr.i),
+    sized AS (SELECT doc_id, g, n, row_number() OVER w - 1 AS pos, lag(n) OVER w AS before, lead(n) OVER w IS NULL AS final FROM (SELECT doc_id, g, count(*) AS n FROM gr GROUP BY ALL) WINDOW w AS (PARTITION BY doc_id ORDER BY g)),
+    reached AS (SELECT *, max(x1) OVER (PARTITION BY doc_id, g ORDER BY x0, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM gr)
+SELECT doc_id, pos::INT AS pos, page, min(x0) AS x0, min(-ny0) AS y0, max(x1) AS x1, max(y1) AS y1, string_agg(repeat(' ', coalesce(floor(greatest(x0 - reach, 0) / 4), 0)::INT) || text, '' ORDER BY x0, i) AS text, list_sort(list(DISTINCT block::VARCHAR)) AS blocks
+FROM reached JOIN sized USING (doc_id, g) WHERE NOT (final AND n = 1 AND coalesce(before, 0) > 1) GROUP BY doc_id, pos, page"""
+
+
+@_query(_MERGE)
 def merge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes cut at a blank and merged again; a sequential pass that tests compare with worked examples."""
+    """Boxes cut at a blank and merged again."""
     return L.merge_lines(V.fragments(spark, sf_dir))
 
 
@@ -204,7 +217,7 @@ def _shown(found: str) -> Column:
     return F.expr(f"array_join(transform({found}, c -> concat(c.kind, ':', coalesce(c.bullet, cast(c.num AS STRING)))), '|')")
 
 
-def _duck_candidates() -> str:
+def _duck_candidate_list() -> str:
     t = "trim(text)"
     parts = [f"CASE WHEN regexp_matches({t}, '^{N.BULLETS}') THEN 'bullet_point:' || substr({t}, 1, 1) END"]
     for kind in N.EN:
@@ -213,10 +226,22 @@ def _duck_candidates() -> str:
             roman = "CASE upper({0}) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in N.ROMAN_VALUES.items()) + " END"
             value = roman if kind.name.startswith("roman") else "ascii(lower({0})) - 96" if kind.name.startswith("alph") else "TRY_CAST({0} AS INT)"
             parts.append(f"CASE WHEN regexp_matches({t}, '{form}') THEN '{kind.name}:' || ({value.format(m)})::VARCHAR END")
-    return f"array_to_string(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL), '|')"
+    return f"list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)"
+
 
+_CANDIDATES = f"SELECT doc_id, pos, {_duck_candidate_list()} AS cs FROM v_layout"
+_AFTER = "CASE WHEN starts_with({0}, 'bullet_point:') THEN {0} ELSE split_part({0}, ':', 1) || ':' || (TRY_CAST(split_part({0}, ':', 2) AS INT) + 1)::VARCHAR END"
+#: (doc_id, pos, state, anchor) of the numbered list: `due` are the numbers that may come next at each level, `own` the lines of their last ones.
+_LISTING = f""", cand AS ({_CANDIDATES}), listing(doc_id, pos, due, own, state, anchor) AS (
+    SELECT doc_id, -1, []::VARCHAR[], []::INT[], 0, NULL::INT FROM v_layout GROUP BY doc_id UNION ALL
+    SELECT doc_id, pos, CASE WHEN new IS NULL THEN due ELSE list_append(due[1:keep], {_AFTER.format('new')}) END, CASE WHEN new IS NULL THEN own ELSE list_append(own[1:keep], pos) END,
+        CASE WHEN none THEN 0 WHEN k > 0 THEN CASE WHEN k = len(due) THEN 1 ELSE 3 END WHEN new IS NULL THEN 4 ELSE 2 END, CASE WHEN k > 0 AND k < len(due) THEN own[k] END
+    FROM (SELECT *, CASE WHEN k > 0 THEN k - 1 ELSE len(due) END AS keep, CASE WHEN k > 0 THEN due[k] ELSE list_filter(cs, lambda c: starts_with(c, 'bullet_point:') OR TRY_CAST(split_part(c, ':', 2) AS INT) <= 1)[1] END AS new
+        FROM (SELECT c.doc_id, c.pos, c.cs, len(c.cs) = 0 AS none, l.due, l.own, coalesce(list_max(list_transform(range(1, len(l.due) + 1), lambda i: CASE WHEN list_contains(c.cs, l.due[i]) THEN i ELSE 0 END)), 0) AS k
+            FROM listing l JOIN cand c ON c.doc_id = l.doc_id AND c.pos = l.pos + 1)))"""
 
-@_query(f"SELECT doc_id, pos, {_duck_candidates()} AS candidates FROM v_layout")
+
+@_query(f"SELECT doc_id, pos, array_to_string({_duck_candidate_list()}, '|') AS candidates FROM v_layout")
 def section_candidates_en(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.layout(spark, sf_dir).withColumn("found", N.candidates("text")).select("doc_id", "pos", _shown("found").alias("candidates"))
 
@@ -226,7 +251,8 @@ def section_candidates_ja(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.layout(spark, sf_dir).withColumn("found", N.candidates("text", "ja")).select("doc_id", "pos", _shown("found").alias("candidates"))
 
 
-@_query()
+@_query(f""", cand AS (SELECT *, lag(cs) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM ({_CANDIDATES}))
+SELECT doc_id, pos, len(list_intersect(cs, list_transform(before, lambda b: {_AFTER.format('b')}))) > 0 AS value FROM cand WHERE before IS NOT NULL""")
 def is_next_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a line's number follows that of the line before it."""
     own = V.layout(spark, sf_dir).withColumn("found", N.candidates("text"))
@@ -234,7 +260,7 @@ def is_next_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.where("before IS NOT NULL").select("doc_id", "pos", N.any_next("found", "before").alias("value"))
 
 
-@_query()
+@_query(f"{_LISTING} SELECT doc_id, pos, state FROM listing WHERE pos >= 0")
 def numbered_list_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.numbered_list_states(V.layout(spark, sf_dir).withColumn("candidates", N.candidates("text")))
 
@@ -285,7 +311,19 @@ def pointer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # baselines
-@_query()
+def _duck_by_depth(source: str) -> str:
+    """SQL: by_depth(doc_id, pos, label, pointer) of source(doc_id, pos, depth, starts): `ps` and `ds` are the lines that are open and their depths."""
+    return f"""stepped(doc_id, pos, depth, ps, ds, label, pointer) AS (SELECT doc_id, pos, depth, [pos], [depth], NULL::INT, NULL::INT FROM {source} WHERE pos = 0 UNION ALL
+        SELECT doc_id, pos, depth, list_append(ps[1:k], pos), list_append(ds[1:k], depth), CASE WHEN depth < before THEN 3 WHEN depth > before THEN 2 WHEN starts THEN 1 ELSE 0 END, CASE WHEN depth < before THEN CASE WHEN k = 0 THEN -1 ELSE ps[k] END END
+        FROM (SELECT n.doc_id, n.pos, n.depth, n.starts, s.depth AS before, s.ps, s.ds, CASE WHEN n.depth < s.depth THEN list_max(list_transform(range(0, len(s.ds) + 1), lambda i: CASE WHEN i > 0 AND s.ds[i] = n.depth THEN i ELSE 0 END)) ELSE len(s.ds) END AS k
+            FROM stepped s JOIN {source} n ON n.doc_id = s.doc_id AND n.pos = s.pos + 1)),
+    by_depth AS (SELECT doc_id, pos, coalesce(lead(label) OVER w, 3) AS label, CASE WHEN lead(label) OVER w IS NULL THEN -1 ELSE lead(pointer) OVER w END AS pointer FROM stepped WINDOW w AS (PARTITION BY doc_id ORDER BY pos))"""
+
+
+_INDENTED = f""", depths AS (SELECT doc_id, pos, indent AS depth, top_spacing AS starts FROM v_layout), {_duck_by_depth('depths')}"""
+
+
+@_query(f"{_INDENTED} SELECT * FROM by_depth")
 def baseline_indent_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.by_indent(V.layout(spark, sf_dir))
 
@@ -296,12 +334,17 @@ def baseline_indent_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.by_indent(V.layout(spark, sf_dir)).select("doc_id", "pos", "label")
 
 
-@_query()
+@_query(f""", {_duck_clusters('x0', 'v_boxes', 10)}, {_duck_clusters('gap', _GAPS, 2, 'gap_')}, spaced AS (SELECT doc_id, mn, mx FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, mn) AS r FROM gap_found) WHERE r = 1),
+    depths AS (SELECT b.doc_id, b.pos, f.k AS depth, NOT coalesce(gap > s.mx - 2 AND gap < s.mn + 2, false) AS starts
+        FROM (SELECT *, CASE WHEN lag(page) OVER w = page THEN lag(y0) OVER w - y0 END AS gap FROM v_boxes WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) b
+        JOIN found f ON f.doc_id = b.doc_id AND b.x0 BETWEEN f.mn AND f.mx LEFT JOIN spaced s ON s.doc_id = b.doc_id), {_duck_by_depth('depths')}
+SELECT * FROM by_depth""")
 def baseline_indent_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.by_position(V.boxes(spark, sf_dir))
 
 
-@_query()
+@_query(f"""{_LISTING} SELECT doc_id, pos, CASE WHEN after IS NULL THEN 3 ELSE CASE after WHEN 4 THEN 1 ELSE after END END AS label, CASE WHEN after IS NULL THEN -1 WHEN after = 3 THEN resumed END AS pointer
+FROM (SELECT doc_id, pos, lead(state) OVER w AS after, lead(anchor) OVER w AS resumed FROM listing WHERE pos >= 0 WINDOW w AS (PARTITION BY doc_id ORDER BY pos))""")
 def baseline_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.by_numbering(V.layout(spark, sf_dir).withColumn("candidates", N.candidates("text")))
 
@@ -344,20 +387,37 @@ _LEVELS = f"""{_REL}, lev(doc_id, i, level) AS (SELECT doc_id, min(pos), 0 FROM
     SELECT s.doc_id, s.i, lev.level + (s.l = 2)::INT FROM lev JOIN src_rel s ON s.doc_id = lev.doc_id AND s.src = lev.i)"""
 
 
-@_query(f"""{_LEVELS}, p AS (SELECT e.doc_id, e.i, e.l, t.text, lev.level, sum((e.l IS DISTINCT FROM 0)::INT) OVER (PARTITION BY e.doc_id ORDER BY e.i) - 1 AS para FROM e_rel e JOIN v_lines t ON t.doc_id = e.doc_id AND t.pos = e.i JOIN lev ON lev.doc_id = e.doc_id AND lev.i = e.i)
-SELECT doc_id, para::INT AS para_idx, rtrim(string_agg(rtrim(text, ' '), ' ' ORDER BY i), ' ') AS text, min(level)::INT AS level, min(i) AS first_pos FROM p GROUP BY doc_id, para""")
+_PARAGRAPHS = f"""{_LEVELS}, p AS (SELECT e.doc_id, e.i, e.l, t.text, lev.level, sum((e.l IS DISTINCT FROM 0)::INT) OVER (PARTITION BY e.doc_id ORDER BY e.i) - 1 AS para FROM e_rel e JOIN v_lines t ON t.doc_id = e.doc_id AND t.pos = e.i JOIN lev ON lev.doc_id = e.doc_id AND lev.i = e.i)
+SELECT doc_id, para::INT AS para_idx, rtrim(string_agg(rtrim(text, ' '), ' ' ORDER BY i), ' ') AS text, min(level)::INT AS level, min(i) AS first_pos FROM p GROUP BY doc_id, para"""
+
+
+@_query(_PARAGRAPHS)
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.paragraphs(_labelled(spark, sf_dir)).withColumn("text", F.rtrim("text"))
 
 
-@_query()
+@_query(f"""{_INDENTED}, e AS (SELECT doc_id, pos AS i, lag(pos) OVER w AS pv, lag(label) OVER w AS l, lag(pointer) OVER w AS pp FROM by_depth WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    lev(doc_id, i, level) AS (SELECT doc_id, i, 0 FROM e WHERE pv IS NULL OR l = 3 AND pp = -1 UNION ALL
+        SELECT e.doc_id, e.i, lev.level + (e.l = 2)::INT FROM lev JOIN e ON e.doc_id = lev.doc_id AND lev.i = CASE WHEN e.l = 3 THEN e.pp ELSE e.pv END),
+    p AS (SELECT e.doc_id, e.i, t.text, lev.level, sum((e.l IS DISTINCT FROM 0)::INT) OVER (PARTITION BY e.doc_id ORDER BY e.i) - 1 AS para FROM e JOIN v_layout t ON t.doc_id = e.doc_id AND t.pos = e.i JOIN lev ON lev.doc_id = e.doc_id AND lev.i = e.i)
+SELECT doc_id, para::INT AS para_idx, rtrim(string_agg(rtrim(text, ' '), ' ' ORDER BY i), ' ') AS text, min(level)::INT AS level, min(i) AS first_pos FROM p GROUP BY doc_id, para""")
 def paragraphs_indent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines -> labels by indent -> paragraphs with levels."""
     lines = V.layout(spark, sf_dir)
-    return S.paragraphs(B.by_indent(lines).join(lines.select("doc_id", "pos", "text"), ["doc_id", "pos"]))
-
-
-@_query()
+    return S.paragraphs(B.by_indent(lines).join(lines.select("doc_id", "pos", "text"), ["doc_id", "pos"])).withColumn("text", F.rtrim("text"))
+
+
+@_query(f"""{_REL}, both_rel AS (SELECT doc_id, i AS pos, j AS o, rel, true AS up FROM rel UNION ALL SELECT doc_id, j, i, rel, false FROM rel),
+    placed AS (SELECT doc_id, pos, label, head, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS node FROM (SELECT v.doc_id, v.pos, v.label, r.j IS NULL AS head FROM v_gold v LEFT JOIN (SELECT DISTINCT doc_id, j FROM rel WHERE rel = 0) r ON r.doc_id = v.doc_id AND r.j = v.pos)),
+    near AS (SELECT a.doc_id, a.node, b.rel, b.up, b.o, t.node AS other FROM placed a JOIN both_rel b ON b.doc_id = a.doc_id AND b.pos = a.pos JOIN placed t ON t.doc_id = a.doc_id AND t.pos = b.o WHERE a.head),
+    kids AS (SELECT f.doc_id, f.node, list_sort(list(DISTINCT t.node::INT)) AS children FROM (SELECT doc_id, node, min(o) AS o FROM near WHERE rel = 2 AND up GROUP BY ALL) f JOIN both_rel b ON b.doc_id = f.doc_id AND b.pos = f.o AND b.rel = 1
+        JOIN placed t ON t.doc_id = f.doc_id AND t.pos = b.o WHERE t.node <> f.node GROUP BY ALL),
+    kin AS (SELECT doc_id, node, list_sort(list(DISTINCT other::INT) FILTER (rel = 1 AND other <> node)) AS siblings, list_sort(list(DISTINCT other::INT) FILTER (rel = 2 AND NOT up AND other <> node)) AS ancestors, arg_max(other, o) FILTER (rel = 2 AND NOT up) AS parent,
+        list_sort(list(DISTINCT other::INT) FILTER (rel = 2 AND up AND other <> node)) AS descendents FROM near GROUP BY ALL),
+    wholes AS (SELECT a.doc_id, a.node, a.label, string_agg(l.text, ' ' ORDER BY l.pos) AS text FROM placed a JOIN (SELECT doc_id, pos AS p, pos FROM v_gold UNION ALL SELECT doc_id, i, j FROM rel WHERE rel = 0) s ON s.doc_id = a.doc_id AND s.p = a.pos
+        JOIN v_lines l ON l.doc_id = a.doc_id AND l.pos = s.pos WHERE a.head GROUP BY ALL)
+SELECT w.doc_id, w.node::INT AS node, w.text, coalesce(siblings, []) AS siblings, coalesce(ancestors, []) AS ancestors, parent::INT AS parent, coalesce(descendents, []) AS descendents, coalesce(children, []) AS children, w.label = 4 AS eliminated
+FROM wholes w LEFT JOIN kin ON kin.doc_id = w.doc_id AND kin.node = w.node LEFT JOIN kids ON kids.doc_id = w.doc_id AND kids.node = w.node""")
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.tree(_labelled(spark, sf_dir))
 
@@ -381,9 +441,9 @@ def prediction_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.prediction_json(V.lines(spark, sf_dir), V.gold(spark, sf_dir), V.pred(spark, sf_dir))
 
 
-@_query()
+@_query(f"{_PARAGRAPHS.rsplit('SELECT doc_id, para::INT', 1)[0]} SELECT doc_id, para_idx, repeat(chr(9), level) || text AS line FROM (SELECT doc_id, para::INT{_PARAGRAPHS.rsplit('SELECT doc_id, para::INT', 1)[1]})")
 def tabbed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.tabbed(S.paragraphs(_labelled(spark, sf_dir)))
+    return export.tabbed(S.paragraphs(_labelled(spark, sf_dir)).withColumn("text", F.rtrim("text")))
 
 
 # scores
@@ -445,18 +505,30 @@ def average_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.average_f1(M.structure_metrics(V.gold(spark, sf_dir), V.pred(spark, sf_dir)))
 
 
-@_query()
+_DEPTHS = """, step AS (SELECT doc_id, pos, l, CASE WHEN l = 3 THEN pp ELSE pv END AS src FROM (SELECT doc_id, pos, lag(pos) OVER w AS pv, lag(label) OVER w AS l, lag(pointer) OVER w AS pp FROM v_gold WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE pv IS NOT NULL),
+    deep(doc_id, pos, level) AS (SELECT doc_id, min(pos), 0 FROM v_gold GROUP BY doc_id UNION ALL SELECT s.doc_id, s.pos, deep.level + (s.l = 2)::INT FROM deep JOIN step s ON s.doc_id = deep.doc_id AND s.src = deep.pos),
+    depth_of AS (SELECT doc_id, (max(level) + 1)::INT AS max_depth FROM deep GROUP BY doc_id)"""
+
+
+def _stats_sql() -> str:
+    names = [n.lower() for n in S.LABELS]
+    each = f"SELECT v.doc_id, count(*) AS n_text_blocks, any_value(max_depth) AS max_depth, {', '.join(f'sum((label = {k})::INT) AS count_{n}, sum((label = {k})::INT) / count(*)::DOUBLE AS ratio_{n}' for k, n in enumerate(names))} FROM v_gold v JOIN depth_of ON depth_of.doc_id = v.doc_id GROUP BY v.doc_id"
+    columns = ["n_text_blocks", "max_depth", *[f"count_{n}" for n in names], *[f"ratio_{n}" for n in names]]
+    return f"{_DEPTHS}, each_doc AS ({each}) " + " UNION ALL ".join(f"SELECT '{c}' AS measure, median({c}::DOUBLE) AS median, avg({c}::DOUBLE) AS mean, max({c})::DOUBLE AS max, min({c})::DOUBLE AS min FROM each_doc" for c in columns)
+
+
+@_query(f"{_DEPTHS} SELECT * FROM depth_of")
 def max_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.max_depth(V.gold(spark, sf_dir))
 
 
-@_query()
+@_query(_stats_sql())
 def data_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.statistics(V.gold(spark, sf_dir))
 
 
 # models
-@_query()
+@_query(f"SELECT cv_key, ((row_number() OVER (ORDER BY md5('{model.SEED}:' || cv_key::VARCHAR), cv_key) - 1) % 5)::INT AS fold FROM (SELECT DISTINCT doc_id AS cv_key FROM v_lines)")
 def kfold_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.folds(V.lines(spark, sf_dir).select(F.col("doc_id").alias("cv_key")))
 
