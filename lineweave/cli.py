@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .operators import metrics as M
 from .operators import structure as S
-from .plans import export, model
+from .plans import export, model, registry
 from .sources.annotations import read_annotations, write_skeletons
 from .sources.pdf import READERS
 from .sources.text import read_annotated
@@ -51,11 +51,11 @@ def annotated(spark: SparkSession, kind: str, raw: str, annos: str) -> DataFrame
 
 
 def predict(form: str, kind: str, path: str, model_path: str | None = None, models: model.Models | None = None, spark: SparkSession | None = None) -> DataFrame:
-    """paragraphs, tabbed or tree of every document at `path`, by a saved or a given model (exactly one of them)."""
+    """paragraphs, tabbed or tree of every document at `path`, by a saved model (its path, name or address) or a given one."""
     if (model_path is None) == (models is None):
         raise UsageError("give either a model or the path of one")
     spark = spark or SparkSession.builder.getOrCreate()
-    models = models or model.Models.load(model_path)
+    models = models or registry.load(model_path)
     blocks = read(spark, kind, path)
     lines = model.predict(blocks, models).join(blocks.select("doc_id", "pos", "text"), ["doc_id", "pos"])
     if form == "tree":

@@ -94,6 +94,29 @@ MAYBE = {
 }
 
 
+#: Kinds that users have added, by language.
+_ADDED: dict[str, list[Kind]] = {"en": [], "ja": []}
+
+
+def register(kind: Kind, language: str = "en") -> None:
+    """Let candidates() find another kind of number in every form that the language has. A name that is taken: ValueError.
+
+    `kind.regex` has one group, the number; `kind.value` is SQL for its integer, with {0} for what the group matched.
+    """
+    if kind.name in {k.name for k in kinds(language)}:
+        raise ValueError(f"there is a kind {kind.name!r}")
+    _ADDED[language].append(kind)
+
+
+def unregister(name: str, language: str = "en") -> None:
+    _ADDED[language][:] = [k for k in _ADDED[language] if k.name != name]
+
+
+def kinds(language: str = "en") -> tuple[Kind, ...]:
+    """The language's own kinds, in their order, and those added to it."""
+    return (*(EN if language == "en" else JA), *_ADDED[language])
+
+
 def candidates(text: str, language: str = "en") -> Column:
     """All numbers that the line in column `text` may begin with, in the order of their kinds; a bullet is its own number.
 
@@ -106,12 +129,13 @@ def candidates(text: str, language: str = "en") -> Column:
         for runs in ENCLOSED:
             characters = "".join(chr(a + k) for a, n in runs for k in range(n))
             made.append(f"IF({t} RLIKE '^[{characters}]', named_struct('kind', 'kakoimoji', 'num', instr('{characters}', substr({t}, 1, 1)) - 1, 'bullet', {none}), NULL)")
-    for kind in EN if language == "en" else JA:
+    for kind in kinds(language):
         for form in forms(kind, language):
             value = kind.value.format(f"regexp_extract({t}, {_quoted(form)}, 1)")
             made.append(f"IF({t} RLIKE {_quoted(form)}, named_struct('kind', '{kind.name}', 'num', cast({value} AS INT), 'bullet', {none}), NULL)")
     sql = f"filter(array({', '.join(made)}), x -> x IS NOT NULL AND (x.num IS NOT NULL OR x.bullet IS NOT NULL))"
-    return F.expr(f"IF({t} RLIKE {_quoted(MAYBE[language])}, cast({sql} AS {CANDIDATES}), cast(array() AS {CANDIDATES}))")
+    maybe = "|".join(f"(?:{x})" for x in (MAYBE[language], *(form for kind in _ADDED[language] for form in forms(kind, language))))
+    return F.expr(f"IF({t} RLIKE {_quoted(maybe)}, cast({sql} AS {CANDIDATES}), cast(array() AS {CANDIDATES}))")
 
 
 def any_next(following: str, before: str) -> Column:

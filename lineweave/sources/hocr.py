@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.fold import importable
+from ..functions.text import normalized
 from ..operators.fold import importable
 from ..operators.layout import merge_lines
 
@@ -122,9 +124,10 @@ def spans(pages: DataFrame, key: str = "path", html: str = "html") -> DataFrame:
 
 
 def cell_blocks(found: DataFrame) -> DataFrame:
-    """Spans merged to lines; cells with one line are left out. (path, cell_idx, pos, x0, ..., cell_w, cell_h, text, blocks)."""
+    """Spans with normalised texts, merged to lines; cells with one line are left out. (path, cell_idx, pos, x0, ..., cell_w, cell_h, text, blocks)."""
     sizes = found.groupBy("path", "cell_idx").agg(F.first("cell_w").alias("cell_w"), F.first("cell_h").alias("cell_h"))
-    merged = merge_lines(found.withColumn("page", F.lit(0)), by=("path", "cell_idx")).drop("page")
+    importable(found.sparkSession)
+    merged = merge_lines(found.withColumn("page", F.lit(0)).withColumn("text", normalized(F.col("text"))), by=("path", "cell_idx")).drop("page")
     many = merged.groupBy("path", "cell_idx").count().where("count > 1").drop("count")
     return merged.join(many, ["path", "cell_idx"]).join(sizes, ["path", "cell_idx"])
 

@@ -62,6 +62,8 @@ def test_hocr(spark):
     df = hocr.cell_blocks(hocr.spans(spark.createDataFrame([("p", HOCR), ("q", None), ("r", "")], "path string, html string")))
     got = df.orderBy("pos").collect()
     assert [(r["text"], r["x0"], r["y0"], r["x1"], r["y1"], r["cell_w"], r["cell_h"]) for r in got] == [("A", 0, 30, 50, 40, 100, 40), ("B", 0, 10, 50, 20, 100, 40)]
+    wide = HOCR.replace(">A<", ">Ａ～<")
+    assert hocr.cell_blocks(hocr.spans(spark.createDataFrame([("p", wide)], "path string, html string"))).orderBy("pos").first()["text"] == "A〜"
     with pytest.raises(ValueError, match="twice"):
         hocr.title_fields("bbox 1 2 3 4; bbox 1 2 3 4")
 
