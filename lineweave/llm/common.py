@@ -18,6 +18,9 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 #: Bytes of text that a Python worker handles at once; one longer text is handled alone.
 SLICE_BYTES = 1 << 20
 
+#: Rows of a file in the shared folder, of tables of a few numbers.
+ROWS = 200_000
+
 #: A-Z to a-z, every other byte as it is.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -47,9 +50,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and go on from there: losing an executor loses nothing that lies before."""
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and go on from there: losing an executor loses nothing that lies before.
+
+    With `rows`, about how many rows df has, a file gets ROWS of them: many small files cost more than what is in them, as
+    every new file may start a process that sets its permissions.
+    """
+    return (df if rows is None else df.coalesce(max(8, -(-rows // ROWS)))).checkpoint(eager=True)
 
 
 def give_back() -> None:

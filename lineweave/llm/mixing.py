@@ -96,7 +96,7 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block
     digits = next(d for d in range(2, 8) if 16**d * 1024 >= n or d == 7)
     order = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
     light = inner.select("key", size.alias("size"), order.substr(1, digits).alias("part"))
-    groups = cut(light.groupBy("key", "part").agg(F.sum("size").alias("size")))
+    groups = cut(light.groupBy("key", "part").agg(F.sum("size").alias("size")), n)
     totals = {r["key"]: r["size"] for r in groups.groupBy("key").agg(F.sum("size").alias("size")).collect()}
     if weights is None:
         targets = {s: max(float(x), 1.0) ** TEMPERATURE for s, x in totals.items()}

@@ -177,10 +177,11 @@ def links(vertices: DataFrame, n: int) -> DataFrame:
 def _components(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, root, component_id) for every row of docs: the smallest fingerprint and the smallest doc_id of its component."""
     fps = cut(fingerprints(docs))
-    vertices = cut(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")))
-    found = components(links(vertices.select("fp"), vertices.count()))
-    rooted = cut(vertices.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "v", "n", F.coalesce("component", "fp").alias("root")))
-    least = cut(rooted.groupBy("root").agg(F.min("v").alias("component_id"), F.count("*").alias("members")))
+    vertices = cut(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")), fps.count())
+    n = vertices.count()
+    found = components(links(vertices.select("fp"), n), n)
+    rooted = cut(vertices.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "v", "n", F.coalesce("component", "fp").alias("root")), n)
+    least = cut(rooted.groupBy("root").agg(F.min("v").alias("component_id"), F.count("*").alias("members")), n)
     named = with_values(rooted, least, "root", "members").select("fp", "n", "root", "component_id")
     return with_values(fps, named, "fp", "n").select("doc_id", "fp", *[F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("root", "component_id")])
 
