@@ -26,14 +26,21 @@ from .common import LOWER, id_crc, prepare, shared_dir, table, texts_of
 
 #: Bytes of text in a block, dictionary entries in a shard, and tasks that send sums in a round at most.
 BLOCK_BYTES, SHARD_ENTRIES, TASKS = 8 << 20, 1 << 20, 1024
-#: Words of the vocabulary at most and their least share of the tokens (which alone bounds them), classes with that of the rest.
-VOCABULARY, LEAST_SHARE, CLASSES = 4095, 2e-5, 64
-#: Buckets: words as features (the first EXACT have their own), pairs of words.
-WORD_BUCKETS, EXACT, PAIR_BUCKETS = 1024, 768, 4096
+#: Least share of the tokens that a word of the vocabulary has, classes with that of the rest.
+LEAST_SHARE, CLASSES = 2e-5, 64
+#: Words of the vocabulary and buckets of word pairs: GROWTH times the cube root of the training tokens, and LEAST_SIZE at least.
+GROWTH, LEAST_SIZE = 16, 4096
 ROUNDS, STEP, PRIOR = 5, 0.6, 4.0
 SLICES = 16
 END = xxhash.xxh64_intdigest(b"\n")  # no word has a line feed
-FEATURES = 1 + 2 * WORD_BUCKETS + PAIR_BUCKETS
+#: Contexts that are scored at once.
+CHUNK = 1 << 13
+
+
+def size_for(tokens: int, growth: float = GROWTH) -> int:
+    """Words of the vocabulary, and buckets of pairs, for so many training tokens; a quarter as many buckets are for words as features."""
+    return max(LEAST_SIZE, int(growth * tokens ** (1 / 3)))
+
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -144,6 +151,17 @@ class Model:
     tokens: int = 0
     known: int = 0
     rest_tokens: int = 0
+    pairs: int = LEAST_SIZE
+
+    @property
+    def words(self) -> int:
+        """Buckets of words as features; the first three quarters are the commonest words' own."""
+        return self.pairs // 4
+
+    @property
+    def rows(self) -> int:
+        """Rows of the weights: the bias, words before, skipped-to words, pairs."""
+        return 1 + 2 * self.words + self.pairs
 
     @property
     def start(self) -> int:
@@ -168,22 +186,38 @@ class Model:
 
     def features(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows of the weights: the word before, the skipped-to word, the pair; besides the bias in row 0."""
-        bucket = lambda w: np.where(w < EXACT, w, EXACT + w % (WORD_BUCKETS - EXACT))
-        pair = ((two * 40503 + one) * 2654435761 >> 8) % PAIR_BUCKETS
-        return 1 + bucket(one), 1 + WORD_BUCKETS + bucket(two), 1 + 2 * WORD_BUCKETS + pair
+        exact = self.words * 3 // 4
+        bucket = lambda w: np.where(w < exact, w, exact + w % (self.words - exact))
+        pair = ((two * 40503 + one) * 2654435761 >> 8) % self.pairs
+        return 1 + bucket(one), 1 + self.words + bucket(two), 1 + 2 * self.words + pair
 
-    def classes(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Natural log-probabilities of the classes in each context."""
+    def _centred(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """What the features of each context give each class, less the largest."""
         a, b, c = self.features(one, two)
-        z = self.weights[a] + self.weights[b] + self.weights[c] + self.weights[0]
+        z = self.weights[a]
+        for x in (self.weights[b], self.weights[c], self.weights[0]):
+            z += x
         z -= z.max(axis=1, keepdims=True)
-        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        return z
+
+    def classes(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Natural log-probabilities of the classes in each context."""
+        z = self._centred(one, two)
+        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+        return z
+
+    def shares(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Probabilities of the classes in each context."""
+        z = self._centred(one, two)
+        np.exp(z, out=z)
+        z /= z.sum(axis=1, keepdims=True)
+        return z
 
 
 def _unique(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct contexts (word before, word before that) and which each token has."""
-    code, at = np.unique(two.astype(np.int64) << 16 | one, return_inverse=True)
-    return code & 0xFFFF, code >> 16, at
+    code, at = np.unique(two.astype(np.int64) << 32 | one, return_inverse=True)
+    return code & 0xFFFFFFFF, code >> 32, at
 
 
 def _scatter(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
@@ -193,15 +227,15 @@ def _scatter(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     out[rows[order][first]] += np.add.reduceat(values[order], first, axis=0)
 
 
-def vocabulary(common: list[tuple[int, int]], tokens: int, known: int) -> Model:
+def vocabulary(common: list[tuple[int, int]], tokens: int, known: int, growth: float = GROWTH) -> Model:
     """The untrained model over the commonest words (ties: smaller hash); classes share the vocabulary's root counts evenly."""
-    top = sorted(common, key=lambda x: (-x[1], x[0] & (1 << 64) - 1))[:VOCABULARY]
+    top = sorted(common, key=lambda x: (-x[1], x[0] & (1 << 64) - 1))[: size_for(tokens, growth) - 1]
     counts = np.array([n for _, n in top], np.float64)
     share = np.cumsum(np.sqrt(counts)) / max(np.sqrt(counts).sum(), 1)
     of = np.r_[0, 1 + np.minimum((share * (CLASSES - 1)).astype(np.int64), CLASSES - 2), 0]
     hashes = np.array([h & (1 << 64) - 1 for h, _ in top], np.uint64)
     order = np.argsort(hashes)
-    return Model(hashes[order], 1 + order, of, np.zeros((FEATURES, CLASSES), np.float32), np.zeros((CLASSES, len(of)), np.float32), tokens, known, tokens - int(counts.sum()))
+    return Model(hashes[order], 1 + order, of, np.zeros((1 + 2 * (size_for(tokens, growth) // 4) + size_for(tokens, growth), CLASSES), np.float32), np.zeros((CLASSES, len(of)), np.float32), tokens, known, tokens - int(counts.sum()), size_for(tokens, growth))
 
 
 def _sums(blocks: DataFrame, model: Model, observed: bool) -> np.ndarray:
@@ -210,7 +244,7 @@ def _sums(blocks: DataFrame, model: Model, observed: bool) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        total = np.zeros((FEATURES, CLASSES))
+        total = np.zeros((m.rows, CLASSES))
         pairs = np.zeros((CLASSES, len(m.of)))
         for b in batches:
             for tokens, hashes, train, offsets in zip(*(b.column(c).to_pylist() for c in ("tokens", "hashes", "train", "offsets")), strict=True):
@@ -221,13 +255,15 @@ def _sums(blocks: DataFrame, model: Model, observed: bool) -> np.ndarray:
                 if not len(w):
                     continue
                 u1, u2, at = _unique(one, two)
-                for lo in range(0, len(u1), 1 << 16):
-                    s = slice(lo, lo + (1 << 16))
+                step, times = 1 << 16 if observed else CHUNK, np.bincount(at, minlength=len(u1)).astype(np.float32)
+                for lo in range(0, len(u1), step):
+                    s = slice(lo, lo + step)
                     if observed:
                         here = (at >= s.start) & (at < s.stop)
                         own = np.bincount((at[here] - lo) * CLASSES + m.of[w[here]], minlength=len(u1[s]) * CLASSES).reshape(-1, CLASSES).astype(np.float32)
                     else:
-                        own = np.exp(m.classes(u1[s], u2[s])) * np.bincount(at, minlength=len(u1))[s, None].astype(np.float32)
+                        own = m.shares(u1[s], u2[s])
+                        own *= times[s, None]
                     for rows in m.features(u1[s], u2[s]):
                         _scatter(total, rows, own)
                     total[0] += own.sum(axis=0)
@@ -246,14 +282,14 @@ def _sums(blocks: DataFrame, model: Model, observed: bool) -> np.ndarray:
 
     few = blocks.select("tokens", "hashes", "train", "offsets").coalesce(TASKS)
     rows = few.mapInArrow(run, "slice int, sums binary").groupBy("slice").applyInArrow(add, "slice int, sums binary").collect()
-    size = FEATURES * CLASSES + (CLASSES * len(model.of) if observed else 0)
+    size = model.rows * CLASSES + (CLASSES * len(model.of) if observed else 0)
     return np.concatenate([np.frombuffer(r["sums"], np.float64) for r in sorted(rows, key=lambda r: r["slice"])]) if rows else np.zeros(size)
 
 
 def trained(blocks: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
     """Gradient updates of the class weights, each scaled by what is there and expected; the words inside classes in closed form."""
     sums = _sums(blocks, model, True)
-    there, pairs = sums[: FEATURES * CLASSES].reshape(FEATURES, CLASSES), sums[FEATURES * CLASSES :].reshape(CLASSES, -1)
+    there, pairs = sums[: model.rows * CLASSES].reshape(-1, CLASSES), sums[model.rows * CLASSES :].reshape(CLASSES, -1)
     if there.any():
         bias = np.log(there[0] + 0.5)
         model.weights[0] = bias - bias.max()
@@ -263,17 +299,18 @@ def trained(blocks: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
     by_class = np.stack([np.bincount(model.of, weights=p, minlength=CLASSES) for p in pairs])
     model.inside = np.log10((pairs + PRIOR * share) / (by_class[:, model.of] + PRIOR)).astype(np.float32)
     for _ in range(rounds if there.any() else 0):
-        expected = _sums(blocks, model, False).reshape(FEATURES, CLASSES)
+        expected = _sums(blocks, model, False).reshape(-1, CLASSES)
         gradient = there - expected
         model.weights += (STEP * 2 * gradient / (there + expected + PRIOR)).astype(np.float32)
     return model
 
 
-def scored(docs: DataFrame) -> DataFrame:
+def scored(docs: DataFrame, growth: float = GROWTH, rounds: int = ROUNDS) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; a row for each row.
 
     Null and empty texts are one end token. A null id is trained on. Repeated rows count as often as they are there. If
-    nothing is trained on, every token is unknown. Empty input: empty result. Other columns are ignored. Words are told
+    nothing is trained on, every token is unknown. The vocabulary and the feature buckets grow as the cube root of the
+    training tokens, times `growth`; `rounds` are the gradient updates. Empty input: empty result. Other columns are ignored. Words are told
     apart by 64-bit hashes. Blocks, counts and answers are written to the shared folder and read from there.
     """
     spark = docs.sparkSession
@@ -290,7 +327,7 @@ def scored(docs: DataFrame) -> DataFrame:
     known = counts.agg(F.sum("known")).first()[0] or 0
     # words with LEAST_SHARE of the tokens: 1 / LEAST_SHARE at most
     common = counts.where("known IS NOT NULL").select(F.explode(F.arrays_zip("common_hashes", "common_counts")).alias("x")).select("x.*").collect()
-    model = trained(blocks, vocabulary([(r["common_hashes"], r["common_counts"]) for r in common], tokens, int(known)))
+    model = trained(blocks, vocabulary([(r["common_hashes"], r["common_counts"]) for r in common], tokens, int(known), growth), rounds)
     held = spark.sparkContext.broadcast(model)
     answers = counts.groupBy(F.col("block").alias("of")).agg(F.sort_array(F.collect_list(F.struct("shard", "counts"))).alias("answers"))
 
@@ -309,9 +346,9 @@ def scored(docs: DataFrame) -> DataFrame:
                 u1, u2, at = _unique(one, two)
                 own, score = m.of[w], np.empty(len(w))
                 order = np.argsort(at, kind="stable")
-                edges = np.searchsorted(at[order], np.arange(0, len(u1) + (1 << 16), 1 << 16))
-                for j, lo in enumerate(range(0, len(u1), 1 << 16)):
-                    p, here = m.classes(u1[lo : lo + (1 << 16)], u2[lo : lo + (1 << 16)]), order[edges[j] : edges[j + 1]]
+                edges = np.searchsorted(at[order], np.arange(0, len(u1) + CHUNK, CHUNK))
+                for j, lo in enumerate(range(0, len(u1), CHUNK)):
+                    p, here = m.classes(u1[lo : lo + CHUNK], u2[lo : lo + CHUNK]), order[edges[j] : edges[j + 1]]
                     score[here] = p[at[here] - lo, own[here]] / np.log(10)
                 rare = np.log10((count + 0.5) / (m.rest_tokens + 0.5 * (rest_known + 1)))
                 score += np.where(w > 0, m.inside[m.of[one], w], rare[tokens])
