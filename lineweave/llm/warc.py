@@ -16,6 +16,7 @@ import re
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -32,18 +33,20 @@ FIELDS = {
 NAMES = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 END = b"\r\n\r\n"
 NO_DATE = "19700101000000"
+SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:lineweave:warc")
 
 
 @dataclass
 class ArcRecord:
-    """A record of an ARC file: its header fields (absent ones are not there), its place and the declared bytes."""
+    """A record of an ARC file: its header fields (absent ones are not there), its place, the declared bytes, what is wrong."""
 
     version: int
     fields: dict[str, str]
     offset: int
     body: bytes
+    error: str | None = None
 
 
 @dataclass
@@ -76,42 +79,113 @@ def arc_head(version: int, name: str, date: str = NO_DATE) -> bytes:
     return f"filedesc://{name} 0.0.0.0 {date} text/plain 200 - - 0 {name} {len(body)}\n".encode() + body + b"\n"
 
 
-def parse_arc(data: bytes, version: int | None = None) -> Iterator[ArcRecord]:
-    """The records of an ARC file, or of a piece of one whose version is given.
+class ArcReader:
+    """Cuts the pieces of one ARC file into records by its version's header lines and declared lengths.
 
-    ValueError for a header line with too few fields, a length that is no number, or fewer bytes than declared.
+    Holds one record and one line. `version` is that of pieces which do not begin with a file's first record. What is no
+    record is told in a record with `error` and without fields, and reading goes on at the next line that has a URL, a date
+    and a length; a record that the file ends within has its fields, the bytes that are there, and `error`.
     """
-    at = 0
-    while at < len(data):
-        if data[at : at + 1] in (b"\n", b"\r"):  # the line feed after a record, or padding
-            at += 1
-            continue
-        stop = data.find(b"\n", at)
-        if stop < 0:
-            raise ValueError(f"no end of the header line at byte {at}")
-        parts = data[at:stop].decode("utf-8", "replace").rstrip("\r").split(" ")
-        first = parts[0].startswith("filedesc:")
-        try:
-            length = int(parts[-1])
-        except ValueError:
-            raise ValueError(f"no length in the header line at byte {at}") from None
-        body = data[stop + 1 : stop + 1 + length]
-        if length < 0 or len(body) < length:
-            raise ValueError(f"the record at byte {at} declares {length} bytes and has {len(body)}")
-        if first:
-            stated = re.match(rb"\s*(\d+)", body)
-            version = int(stated[1]) if stated else version
-        names = FIELDS.get(version or 0)
+
+    def __init__(self, version: int | None = None) -> None:
+        self.version, self.at = version, 0  # at: bytes of the file before what is read next
+        self.line = b""  # the beginning of a header line whose end is in a later piece
+        self.record: ArcRecord | None = None
+        self.parts: list[bytes] = []
+        self.need = 0
+        self.lost: ArcRecord | None = None
+        self.first = False
+
+    def header(self, line: bytes) -> tuple[dict[str, str], int]:
+        """(fields, declared length) of a header line; ValueError for what is none."""
+        parts = line.decode("utf-8", "replace").rstrip("\r").split(" ")
+        self.first = parts[0].startswith("filedesc:")
+        # version blocks of either form occur in both versions
+        names = next((n for n in FIELDS.values() if self.first and len(n) == len(parts)), FIELDS.get(self.version or 1 if self.first else self.version or 0))
         if names is None:
-            raise ValueError(f"unknown ARC version {version}")
-        if first and len(parts) != len(names):  # version blocks of either form occur in both versions
-            names = FIELDS[1] if len(parts) == len(FIELDS[1]) else names
+            raise ValueError(f"unknown ARC version {self.version}")
         if len(parts) < len(names):
-            raise ValueError(f"{len(parts)} fields in the header line at byte {at}; version {version} has {len(names)}")
+            raise ValueError(f"{len(parts)} fields in a header line, where version {self.version} has {len(names)}")
+        if not re.fullmatch("[0-9]{1,18}", parts[-1]):
+            raise ValueError("no length in a header line")
         extra = len(parts) - len(names)  # unescaped blanks can only be in the URL
-        values = [" ".join(parts[: extra + 1]), *parts[extra + 1 :]]
-        yield ArcRecord(version, {k: v for k, v in zip(names, values, strict=True) if v != "-"}, at, body)
-        at = stop + 1 + length
+        values = dict(zip(names, [" ".join(parts[: extra + 1]), *parts[extra + 1 :]], strict=True))
+        if not SCHEME.match(values["url"]) and (self.lost or values["url"] != "-") or self.lost and not re.fullmatch("[0-9]{4,14}", values["date"]):
+            raise ValueError("no URL or date in a header line")
+        return {k: v for k, v in values.items() if v != "-"}, int(parts[-1])
+
+    def begin(self, line: bytes) -> Iterator[ArcRecord]:
+        """Take a line between records: blank, a header line, or lost."""
+        start = self.at
+        self.at += len(line) + 1
+        if not line.strip(b"\r"):  # what ends a record, or padding
+            return
+        try:
+            fields, self.need = self.header(line)
+        except ValueError as error:
+            if self.lost is None:
+                self.lost = ArcRecord(self.version or 0, {}, start, b"", str(error))
+            return
+        if self.lost:
+            yield self.lost
+        self.lost, self.parts = None, []
+        self.record = ArcRecord(self.version or 0, fields, start, b"")
+
+    def end(self) -> Iterator[ArcRecord]:
+        """Give the record that is complete, or has what there is of it."""
+        record, self.record = self.record, None
+        if record is None:
+            return
+        record.body, self.parts = b"".join(self.parts), []
+        if self.first:
+            stated = re.match(rb"\s*(\d{1,9})", record.body)
+            record.version = self.version = int(stated[1]) if stated else self.version or 0
+            if self.version not in FIELDS:
+                record.error = f"unknown ARC version {self.version}"
+        if self.need:
+            record.error = f"it declares {len(record.body) + self.need} bytes and has {len(record.body)}"
+        self.need = 0
+        yield record
+
+    def feed(self, piece: bytes) -> Iterator[ArcRecord]:
+        at = 0
+        while at < len(piece) or (self.record and not self.need):
+            if self.record is None:
+                stop = piece.find(b"\n", at)
+                if stop < 0:
+                    self.line += piece[at:]
+                    return
+                line, self.line = self.line + piece[at:stop], b""
+                at = stop + 1
+                yield from self.begin(line)
+                continue
+            taken = piece[at : at + self.need]
+            self.parts.append(taken)
+            at, self.at, self.need = at + len(taken), self.at + len(taken), self.need - len(taken)
+            if not self.need:
+                yield from self.end()
+
+    def close(self) -> Iterator[ArcRecord]:
+        """What the end of the file leaves: a line without an end, a record within which it ends, lost lines."""
+        if self.line:
+            line, self.line = self.line, b""
+            yield from self.begin(line)
+        yield from self.end()
+        if self.lost:
+            yield self.lost
+        self.lost = None
+
+
+def parse_arc(data: bytes, version: int | None = None) -> Iterator[ArcRecord]:
+    """The records of an ARC file, or of a piece of one whose version is given.
+
+    ValueError for a header line with too few fields, a length that is no number, or fewer bytes than declared.
+    """
+    reader = ArcReader(version)
+    for record in chain(reader.feed(data), reader.close()):
+        if record.error:
+            raise ValueError(f"the record at byte {record.offset}: {record.error}")
+        yield record
 
 
 def iso(date: str) -> str:
@@ -155,6 +229,8 @@ def convert(record: ArcRecord, key: str) -> WarcRecord:
         if f.get("ip", "0.0.0.0") != "0.0.0.0":
             head["WARC-IP-Address"] = f["ip"]
         head["WARC-Payload-Digest"] = f"sha1:{sha1(payload_of(record.body, content)[1])}"
+    if record.error:
+        head["WARC-Truncated"] = "unspecified"
     return WarcRecord(head | {"WARC-Block-Digest": f"sha1:{sha1(record.body)}", "Content-Type": content, "Content-Length": str(len(record.body))}, record.body)
 
 
@@ -206,6 +282,77 @@ def parse_warc(pieces: Iterable[bytes]) -> Iterator[WarcRecord]:
         raise ValueError("the archive ends within a record")
 
 
+def read_arcs(spark: SparkSession, path: str) -> DataFrame:
+    """Records of the .arc and .arc.gz files below a folder: (file, offset, version, fields map, body binary, error string).
+
+    Gzipped files, of one gzip member or of one a record, are read from their start, each by one task. Others are split into
+    blocks of lines, which an exchange on the file brings together in their order; a task streams through a file and holds
+    a record. offset counts unzipped bytes. A row without fields tells with `error` of lines that are no record; one with
+    fields and `error` is a record that the file ends within. Empty files have no rows. The line feed after the last
+    record may be missing, unless that record ends with one itself: it is then told as one byte short.
+    """
+    prepare(spark)
+    schema = "file string, offset long, version int, fields map<string,string>, body binary, error string"
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string()]
+    names = ["file", "offset", "version", "fields", "body", "error"]
+
+    def batch(file: str | None, found: list[ArcRecord]) -> pa.RecordBatch:
+        columns = [[file] * len(found), [r.offset for r in found], [r.version for r in found], [list(r.fields.items()) for r in found], [r.body for r in found], [r.error for r in found]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, file, found, size, feed = None, None, [], 0, b""
+        for b in batches:
+            data, offsets = bytes_of(b.column("line"))
+            raw, files = memoryview(data), b.column("file").to_pylist()
+            for k in range(b.num_rows):
+                if reader is None or files[k] != file:
+                    if reader is not None:
+                        yield batch(file, found + list(reader.close()))
+                    reader, file, found, size, feed = ArcReader(), files[k], [], 0, b""
+                # a line's end goes before the next line, as the last line may have none
+                for record in reader.feed(feed + bytes(raw[offsets[k] : offsets[k + 1]])):
+                    found.append(record)
+                    size += len(record.body) + 100
+                feed = b"\n"
+                if size > 8 << 20:
+                    yield batch(file, found)
+                    found, size = [], 0
+        if reader is not None:
+            yield batch(file, found + list(reader.close()))
+
+    def lines(suffix: str) -> DataFrame:
+        read = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(path)
+        return read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("line"))
+
+    zipped = lines(".arc.gz").select("file", "line").mapInArrow(records, schema)
+    plain = lines(".arc").repartition("file").sortWithinPartitions("file", "block", "at").select("file", "line")
+    return zipped.unionByName(plain.mapInArrow(records, schema))
+
+
+def convert_arcs(arcs: DataFrame, path: str) -> DataFrame:
+    """Write the records of read_arcs to gzipped WARC files in the folder `path`; the rows that tell of faults are returned.
+
+    Identifiers come from a record's file and offset. Records that their file ends within are written with what there is
+    of them and WARC-Truncated.
+    """
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            files, offsets, versions, fields, errors = (b.column(c).to_pylist() for c in ("file", "offset", "version", "fields", "error"))
+            out, size = [], 0
+            for k, body in enumerate(b.column("body")):
+                out.append(bytes(convert(ArcRecord(versions[k], dict(fields[k]), offsets[k], body.as_py(), errors[k]), f"{files[k]}:{offsets[k]}")))
+                size += len(out[-1])
+                if size > 8 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+                    out, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+
+    made = arcs.where(F.size("fields") > 0).mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value"))
+    made.write.mode("errorifexists").option("lineSep", END.decode()).option("compression", "gzip").text(path)
+    return arcs.where("error IS NOT NULL").select("file", "offset", "version", "error")
+
+
 def base32_sha1(data: Column) -> Column:
     """Upper-case base32 SHA-1 of a binary column: five hex digits are four base32 digits."""
     hexed = F.sha1(data)
@@ -217,14 +364,17 @@ def http_message(page_id: int | None, payload: bytes) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\nX-Page-Id: {'' if page_id is None else page_id}\r\n\r\n".encode() + payload
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, first: int | None) -> WarcRecord:
-    """A page as the record of a legacy file (the version by its id), converted; a revisit if another page comes first."""
+def page_record(page_id: int | None, url: str | None, payload: bytes, row: int, first: int | None, first_row: int | None) -> WarcRecord:
+    """A page as the record of a legacy file (the version by its id), converted; a revisit if another page comes first.
+
+    Identifiers come from the page and its row, so those of rows that repeat a page differ.
+    """
     version = 1 + (page_id or 0) % 2
     place = url if url and re.match(r"https?:", url) else f"http://invalid/{url or ''}"
     body = http_message(page_id, payload)
     legacy = next(parse_arc(arc_line(version, place, body) + body + b"\n", version))
-    record = convert(legacy, f"page:{page_id}")
-    return record if first is None or first == page_id else revisit(record, f"page:{first}", first)
+    record = convert(legacy, f"page:{page_id}:{row}")
+    return record if first is None or first == page_id else revisit(record, f"page:{first}:{first_row}", first)
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
@@ -234,22 +384,25 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     smaller payloads are all responses. Rows that repeat page_id and payload have the same type; a null page_id is never
     the smallest, and a response if its payload has no other page. Null html: an empty payload. Null or other than http
     URLs are put under http://invalid/. The smallest ids are found on digests, map side first, and only digests that
-    several pages have are joined back; the join deals a hot digest again at run time.
+    several pages have are joined back; the join deals a hot digest again at run time. Every record has an identifier of
+    its own, which its row's place in `pages` goes into: pages is read twice, and must give its rows in the same order, as
+    tables do.
     """
     spark = pages.sparkSession
     prepare(spark)
-    all_pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
+    all_pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"), F.monotonically_increasing_id().alias("row"))
     all_pages = all_pages.withColumn("digest", F.when(F.octet_length("payload") >= min_bytes, F.unhex(F.sha1("payload"))))
-    firsts = all_pages.where("digest IS NOT NULL").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("shared"), "first")
-    joined = all_pages.join(firsts, F.col("digest") == F.col("shared"), "left").select("page_id", "url", "payload", "first")
+    firsts = all_pages.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("least"), F.count("*").alias("n")).where("n > 1")
+    firsts = firsts.select(F.col("digest").alias("shared"), F.col("least.page_id").alias("first"), F.col("least.row").alias("first_row"))
+    joined = all_pages.join(firsts, F.col("digest") == F.col("shared"), "left").select("page_id", "url", "payload", "row", "first", "first_row")
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = bytes_of(b.column("payload"))
             raw, out, size = memoryview(data), [], 0
-            ids, urls, firsts = (b.column(c).to_pylist() for c in ("page_id", "url", "first"))
+            ids, urls, places, firsts, first_rows = (b.column(c).to_pylist() for c in ("page_id", "url", "row", "first", "first_row"))
             for k in range(b.num_rows):
-                out.append(bytes(page_record(ids[k], urls[k], bytes(raw[offsets[k] : offsets[k + 1]]), firsts[k])))
+                out.append(bytes(page_record(ids[k], urls[k], bytes(raw[offsets[k] : offsets[k + 1]]), places[k], firsts[k], first_rows[k])))
                 size += len(out[-1])
                 if size > 8 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
