@@ -2,7 +2,9 @@
 
 White space is marked and words are cut before marks. A batch's distinct words are sorted, so that going through them in
 order is a depth-first walk of their trie: the forward states of a prefix are kept while words share it. A state is the
-last piece of the best segmentation of its prefix. In a unigram model the best is the largest sum of scores (Viterbi); in
+last piece of the best segmentation of its prefix. In a unigram model the best is the largest sum of scores (Viterbi), the
+longer last piece of equals; sums here are in double precision and begin at each word, those of the model's own library
+are in single precision and go on, so only segmentations whose sums are equal but for rounding can differ from its. In
 a BPE model it is the one that the merges give, which a last piece can end if merging it with the piece before it, alone,
 leaves both whole. That holds for one piece at each prefix, so ids are those of the model's own library.
 """
@@ -20,7 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, slices, table
+from .common import free_name, prepare, slices, table
 
 #: The model file; its path is a parameter of the functions below.
 MODEL = os.environ.get("LINEWEAVE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -162,7 +164,14 @@ class Pieces:
         ends = np.cumsum(n)
         out = flat[np.repeat(starts[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
         words = np.cumsum([0, *map(len, split)])
-        return out, np.r_[0, ends][words] if len(ends) else np.zeros(len(texts) + 1, np.int64)
+        bounds = np.r_[0, ends][words] if len(ends) else np.zeros(len(texts) + 1, np.int64)
+        if self.byte_ids:
+            return out, bounds
+        # a run of characters without a piece is one unknown id, across words also
+        first = np.zeros(len(out) + 1, bool)
+        first[bounds] = True
+        kept = first[:-1] | (out != self.unknown) | np.r_[True, out[:-1] != self.unknown][: len(out)]
+        return out[kept], np.r_[0, np.cumsum(kept)][bounds]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: marks are spaces, bytes are joined, and the first mark goes."""
@@ -235,8 +244,8 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def decoded(tokens: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
-    """tokens with a column decoded: the text of the ids, null where these are null. Ids out of range: IndexError."""
-    spark = tokens.sparkSession
+    """tokens with a column decoded (underscores before it if there is one): the text of the ids, null where these are null. Ids out of range: IndexError."""
+    spark, new = tokens.sparkSession, free_name(tokens, "decoded")
     prepare(spark)
     sent = spark.sparkContext.broadcast(model_bytes(model))
 
@@ -244,9 +253,9 @@ def decoded(tokens: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFram
         p = pieces_of(sent.value)
         for b in batches:
             texts = [None if x is None else p.decode(np.array(x, np.int64)) for x in b.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, new])
 
-    return tokens.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in tokens.dtypes) + ", decoded string")
+    return tokens.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in tokens.dtypes) + f", `{new}` string")
 
 
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
