@@ -364,17 +364,19 @@ def http_message(page_id: int | None, payload: bytes) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\nX-Page-Id: {'' if page_id is None else page_id}\r\n\r\n".encode() + payload
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, row: int, first: int | None, first_row: int | None) -> WarcRecord:
-    """A page as the record of a legacy file (the version by its id), converted; a revisit if another page comes first.
+def page_key(page_id: int | None, place: int, rest: str) -> str:
+    """What a page's identifier is derived from: its id, the hash of its URL and the payload's digest or a row."""
+    return f"page:{page_id}:{place}:{rest}"
 
-    Identifiers come from the page and its row, so those of rows that repeat a page differ.
-    """
+
+def page_record(page_id: int | None, url: str | None, payload: bytes, key: str, first: int | None, first_key: str) -> WarcRecord:
+    """A page as the record of a legacy file (the version by its id), converted; a revisit if another page comes first."""
     version = 1 + (page_id or 0) % 2
     place = url if url and re.match(r"https?:", url) else f"http://invalid/{url or ''}"
     body = http_message(page_id, payload)
     legacy = next(parse_arc(arc_line(version, place, body) + body + b"\n", version))
-    record = convert(legacy, f"page:{page_id}:{row}")
-    return record if first is None or first == page_id else revisit(record, f"page:{first}:{first_row}", first)
+    record = convert(legacy, key)
+    return record if first is None or first == page_id else revisit(record, first_key, first)
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
@@ -384,25 +386,28 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     smaller payloads are all responses. Rows that repeat page_id and payload have the same type; a null page_id is never
     the smallest, and a response if its payload has no other page. Null html: an empty payload. Null or other than http
     URLs are put under http://invalid/. The smallest ids are found on digests, map side first, and only digests that
-    several pages have are joined back; the join deals a hot digest again at run time. Every record has an identifier of
-    its own, which its row's place in `pages` goes into: pages is read twice, and must give its rows in the same order, as
-    tables do.
+several pages have are joined back; the join deals a hot digest again at run time. Identifiers of revisits, and of pages
+    that no revisit can refer to but that repeat others, are their rows' own. Rows that repeat the id, URL and payload of a
+    response that revisits refer to are that record written again, with its identifier; all others are unique.
     """
     spark = pages.sparkSession
     prepare(spark)
-    all_pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"), F.monotonically_increasing_id().alias("row"))
+    all_pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"), F.xxhash64("url").alias("place"))
     all_pages = all_pages.withColumn("digest", F.when(F.octet_length("payload") >= min_bytes, F.unhex(F.sha1("payload"))))
-    firsts = all_pages.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("least"), F.count("*").alias("n")).where("n > 1")
-    firsts = firsts.select(F.col("digest").alias("shared"), F.col("least.page_id").alias("first"), F.col("least.row").alias("first_row"))
-    joined = all_pages.join(firsts, F.col("digest") == F.col("shared"), "left").select("page_id", "url", "payload", "row", "first", "first_row")
+    firsts = all_pages.where("digest IS NOT NULL").groupBy("digest").agg(F.min("page_id").alias("first"), F.min_by("place", "page_id").alias("first_place"), F.count("*").alias("n")).where("n > 1")
+    firsts = firsts.select(F.col("digest").alias("shared"), "first", "first_place")
+    joined = all_pages.join(firsts, F.col("digest") == F.col("shared"), "left").select("page_id", "url", "payload", "place", "digest", "shared", "first", "first_place", F.monotonically_increasing_id().alias("row"))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = bytes_of(b.column("payload"))
             raw, out, size = memoryview(data), [], 0
-            ids, urls, places, firsts, first_rows = (b.column(c).to_pylist() for c in ("page_id", "url", "row", "first", "first_row"))
+            ids, urls, places, digests, shared, firsts, first_places, rows = (b.column(c).to_pylist() for c in ("page_id", "url", "place", "digest", "shared", "first", "first_place", "row"))
             for k in range(b.num_rows):
-                out.append(bytes(page_record(ids[k], urls[k], bytes(raw[offsets[k] : offsets[k + 1]]), places[k], firsts[k], first_rows[k])))
+                own = digests[k].hex() if digests[k] else ""
+                alone = digests[k] and (not shared[k] or ids[k] is not None and ids[k] == firsts[k])
+                key = page_key(ids[k], places[k], own if alone else f"row {rows[k]}")
+                out.append(bytes(page_record(ids[k], urls[k], bytes(raw[offsets[k] : offsets[k + 1]]), key, firsts[k], page_key(firsts[k], first_places[k], own))))
                 size += len(out[-1])
                 if size > 8 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])

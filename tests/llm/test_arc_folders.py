@@ -86,10 +86,15 @@ def test_converted_folder_has_a_record_for_each(spark, tmp_path):
 
 
 def test_repeated_pages_have_identifiers_of_their_own(spark, tmp_path):
-    rows = [(1, "http://a", "x"), (1, "http://a", "x"), (1, "http://b", "y"), (None, None, "x"), (2, None, "x"), (None, None, "z")]
-    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), str(tmp_path / "w"))
-    made = [r.headers for part in (tmp_path / "w").glob("part-*.gz") for r in warc.parse_warc([gzip.decompress(part.read_bytes())])]
-    assert len({h["WARC-Record-ID"] for h in made}) == len(rows)
-    responses = {h["WARC-Record-ID"]: h["WARC-Payload-Digest"] for h in made if h["WARC-Type"] == "response"}
-    revisits = [h for h in made if h["WARC-Type"] == "revisit"]
-    assert len(revisits) == 2 and all(responses[h["WARC-Refers-To"]] == h["WARC-Payload-Digest"] for h in revisits)
+    again = (1, "http://a", "x")  # repeats a response that is referred to, whole
+    rows = [again, again, (1, "http://b", "x"), (1, "http://a", "y"), (1, "http://b", "y"), (None, None, "x"), (2, None, "x"), (2, None, "x"), (None, None, "z"), (None, None, "z"), (3, "u", "w")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for k in range(3):
+        for least in (0, 100):
+            path = tmp_path / f"{k} {least}"
+            warc.write_archives(df.repartition(3 + k), str(path), least)
+            made = [r.headers for part in path.glob("part-*.gz") for r in warc.parse_warc([gzip.decompress(part.read_bytes())])]
+            assert len(made) == len(rows) and len({h["WARC-Record-ID"] for h in made}) == len(rows) - (least == 0)
+            responses = {h["WARC-Record-ID"]: h["WARC-Payload-Digest"] for h in made if h["WARC-Type"] == "response"}
+            revisits = [h for h in made if h["WARC-Type"] == "revisit"]
+            assert len(revisits) == (0 if least else 3) and all(responses[h["WARC-Refers-To"]] == h["WARC-Payload-Digest"] for h in revisits)
