@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_crc, prepare, slices, table
+from .common import free_name, id_crc, prepare, slices, table
 
 #: Rows of each language that the model is fitted on at most, and landmarks of each language.
 PER_LANGUAGE, LANDMARKS = 600, 48
@@ -131,9 +131,12 @@ def sample(docs: DataFrame, most: int = PER_LANGUAGE) -> tuple[list[str], list[s
 
 
 def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """docs with lang_pred and lang_score added: `und` (score 0) if the text is null, has no letter, or nothing was learned."""
+    """docs with lang_pred and lang_score added: `und` (score 0) if the text is null, has no letter, or nothing was learned.
+
+    Columns that are already called so keep their names, and the new ones get underscores before theirs.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.columns
+    kept, new = docs.columns, [free_name(docs, n) for n in ("lang_pred", "lang_score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
@@ -146,10 +149,10 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                 p = model.probabilities(data, offsets)
                 best[lo:hi], score[lo:hi] = p.argmax(axis=1), p.max(axis=1)
             best[~letters], score[~letters] = len(names) - 1, 0
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names[best], pa.string()), pa.array(score)], [*b.schema.names, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names[best], pa.string()), pa.array(score)], [*b.schema.names, *new])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, lang_score double")
+    return docs.mapInArrow(run, f"{schema}, `{new[0]}` string, `{new[1]}` double")
 
 
 def learn(docs: DataFrame) -> LanguageModel | None:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, id_crc, prepare, slices, table
+from .common import cut, free_name, give_back, id_crc, prepare, slices, table
 
 #: Labelled documents that the model is fitted on at most, and the bytes of their texts (toxic, clean).
 TOXIC, CLEAN, TOXIC_BYTES, CLEAN_BYTES = 2000, 4000, 4 << 20, 8 << 20
@@ -390,8 +390,11 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[pa.Array, list[int]]:
 
 
 def scored(docs: DataFrame, model: ToxicityModel, name: str = "toxicity") -> DataFrame:
-    """docs with the column `name`: the probability of label 1, from the whole text alone; null and empty texts too."""
-    held, kept = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    """docs with the column `name`: the probability of label 1, from the whole text alone; null and empty texts too.
+
+    If docs has a column called so, it keeps its name, and the new one gets underscores before its.
+    """
+    held, kept, name = docs.sparkSession.sparkContext.broadcast(model), docs.columns, free_name(docs, name)
     text = next(k for k, c in enumerate(kept) if c == "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
