@@ -138,6 +138,46 @@ def longest_common_substring(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
+def distance_of(x: str, y: str, most: int | None = None) -> int:
+    """Edit distance, a column of the table at a time as the bits of two integers (Myers 1999, Hyyrö 2003). Beyond `most`, some number beyond it."""
+    if len(x) > len(y):
+        x, y = y, x
+    lo, hi = 0, len(x)
+    while lo < hi and x[lo] == y[lo]:
+        lo += 1
+    cut = len(y) - hi
+    while hi > lo and x[hi - 1] == y[hi + cut - 1]:
+        hi -= 1
+    x, y = x[lo:hi], y[lo : hi + cut]
+    m = len(x)
+    if not m:
+        return len(y)
+    places: dict[str, list[int]] = {}
+    for k, c in enumerate(x):
+        places.setdefault(c, []).append(k)
+    bits = {}
+    for c, at in places.items():
+        own = bytearray(m // 8 + 1)
+        for k in at:
+            own[k >> 3] |= 1 << (k & 7)
+        bits[c] = int.from_bytes(own, "little")
+    whole, top = (1 << m) - 1, m - 1
+    up, down, score, left = whole, 0, m, len(y)
+    for c in y:
+        eq = bits.get(c, 0)
+        d0 = (((eq & up) + up) ^ up) | eq | down
+        hp = down | (whole & ~(d0 | up))
+        hn = d0 & up
+        score += (hp >> top) - (hn >> top)
+        left -= 1
+        if most is not None and score - left > most:
+            return score - left
+        hp = (hp << 1) | 1
+        up = ((hn << 1) | (whole & ~(d0 | hp))) & whole
+        down = d0 & hp & whole
+    return score
+
+
 def edit_share(a: Column, b: Column) -> Column:
     """Edit distance over the length of the longer text."""
     return F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))

@@ -22,12 +22,13 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
 
-def per_document(blocks: DataFrame, columns: list[str], fold: Callable[[list[tuple]], list[tuple]], schema: str, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def per_document(blocks: DataFrame, columns: list[str], fold: Callable[[list[tuple]], list[tuple]], schema: str, by: tuple[str, ...] = ("doc_id",), where: str | None = None) -> DataFrame:
     """fold(rows of one document, ordered by `columns`) -> rows of `schema`; the result has the columns `by` before them.
 
     A document's lines are gathered as one array by a single exchange. Arrow batches of documents are folded in slices of
     about SLICE_BYTES and SLICE_ROWS, and in a slice one document after another, so Python holds the rows of one document
-    and the results of a slice. A fold that gives no rows leaves the document out.
+    and the results of a slice. A fold that gives no rows leaves the document out, and so does `where`, a condition (SQL)
+    on the array `__rows` that is tested before any of it goes to Python.
     """
     importable(blocks.sparkSession)
     gathered = blocks.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("__rows"))
@@ -61,4 +62,4 @@ def per_document(blocks: DataFrame, columns: list[str], fold: Callable[[list[tup
                 if not b.num_rows:
                     break
 
-    return gathered.mapInArrow(run, out)
+    return (gathered if where is None else gathered.where(where)).mapInArrow(run, out)
