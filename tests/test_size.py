@@ -24,6 +24,20 @@ def _docs(spark, tmp_path):
     return str(tmp_path)
 
 
+@pytest.mark.parametrize("name", ["features_text", "features_pdf", "features_ja", "features_hocr"])
+def test_features_deal_lines_out_by_document_alone(spark, tmp_path, name):
+    """A line is never dealt out with its neighbours, nor by its place: its document's exchange serves all steps."""
+    found = _exchanges(QUERIES[name](spark, _docs(spark, tmp_path)))
+    assert found and not any(re.search(r"\bb[1-4]#|hashpartitioning\([^)]*pos#", x) for x in found)
+
+
+def test_features_of_a_document_that_is_there_twice(spark, tmp_path):
+    """One row for each line; a join on (doc_id, pos) gave four for two."""
+    twice = spark.read.parquet(f"{_docs(spark, tmp_path)}/documents.parquet")
+    twice.union(twice).write.parquet(f"{tmp_path}/two/documents.parquet")
+    assert QUERIES["features_text"](spark, f"{tmp_path}/two").count() == 240
+
+
 def test_similar_elsewhere_deals_texts_out_once(spark):
     df = spark.createDataFrame([(0, k, k // 2, 0.0, 20.0 * (k % 2), 450.0, 20.0 * (k % 2) + 30, "some text" + "x" * (k % 2)) for k in range(6)], "doc_id long, pos int, page int, x0 double, y0 double, x1 double, y1 double, text string")
     assert sorted(r["pos"] for r in L.similar_elsewhere(df).collect()) == list(range(6))
