@@ -105,13 +105,20 @@ def page_like2(t: Column) -> Column:
 
 
 def bigrams(t: Column) -> Column:
-    """All substrings of two characters; none for shorter texts."""
-    return F.when(F.length(t) >= 2, F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda k: F.substring(t, k, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    """All substrings of two characters; none for shorter texts. Linear in the text: it is cut into characters once."""
+    c = F.split(t, "")
+    n = F.length(t) - 1
+    return F.when(n >= 1, F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, F.lit(2), n), lambda a, b: F.concat(a, b))).otherwise(F.array().cast("array<string>"))
+
+
+#: Characters at the heads of two texts in which a common bigram is looked for first.
+HEAD = 64
 
 
 def common_bigram(a: Column, b: Column) -> Column:
-    """Whether the longest common substring has two characters or more."""
-    return F.coalesce(F.arrays_overlap(bigrams(a), bigrams(b)), F.lit(False))
+    """Whether the longest common substring has two characters or more. Most pairs show it in their heads; the others are compared whole."""
+    heads = F.arrays_overlap(bigrams(F.left(a, F.lit(HEAD))), bigrams(F.left(b, F.lit(HEAD))))
+    return F.coalesce(F.when(heads, F.lit(True)).when((F.length(a) > HEAD) | (F.length(b) > HEAD), F.arrays_overlap(bigrams(a), bigrams(b))), F.lit(False))
 
 
 def first_longest(x: str, y: str) -> str:

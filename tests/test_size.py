@@ -38,6 +38,16 @@ def test_features_of_a_document_that_is_there_twice(spark, tmp_path):
     assert QUERIES["features_text"](spark, f"{tmp_path}/two").count() == 240
 
 
+def test_bigrams_of_long_lines(spark):
+    """Linear: 400,000 characters took the square of that when each was looked for from the start."""
+    a, b = "ab" * 200_000 + "é", "ac" + "cb" * 200_000
+    cases = [(a, b, False), (a, b + "ab", True), ("x" * 70 + "é日", "日" * 70 + "é日", True), ("x" * 65, "y" * 64 + "xx", True), ("", "", False), ("a", "a", False), (None, "ab", False)]
+    df = spark.createDataFrame(cases, "a string, b string, want boolean").coalesce(1)
+    began = time.time()
+    assert [r["got"] for r in df.select(X.common_bigram(F.col("a"), F.col("b")).alias("got")).collect()] == [c[2] for c in cases]
+    assert time.time() - began < 20
+
+
 def test_similar_elsewhere_deals_texts_out_once(spark):
     df = spark.createDataFrame([(0, k, k // 2, 0.0, 20.0 * (k % 2), 450.0, 20.0 * (k % 2) + 30, "some text" + "x" * (k % 2)) for k in range(6)], "doc_id long, pos int, page int, x0 double, y0 double, x1 double, y1 double, text string")
     assert sorted(r["pos"] for r in L.similar_elsewhere(df).collect()) == list(range(6))
