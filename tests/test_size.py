@@ -66,3 +66,22 @@ def test_similar_elsewhere_against_all_pairs(spark):
     want = df.join(other, F.expr(f"doc_id = o_doc_id AND page <> o_page AND {w} > 0 AND {h} > 0 AND {w} * {h} > 0.5D * {span} AND abs(length(text) - length(o_text)) < {longer} AND levenshtein(text, o_text) < {longer}"), "left_semi")
     key = lambda x: sorted((a["doc_id"], a["pos"]) for a in x.select("doc_id", "pos").collect())
     assert key(L.similar_elsewhere(df)) == key(want) != []
+
+
+def test_edit_distance_against_the_jvm(spark):
+    """All sizes of groups: pairs that are worked on together, and those one by one."""
+    r = random.Random(5)
+    text = lambda n, kinds: "".join(r.choice(kinds) for _ in range(r.randrange(n)))
+    pairs = [(text(n, kinds), text(n, kinds)) for n, kinds in ((4, "ab"), (70, "abcé日"), (150, "abcdefgh"), (400, "ab𝄞")) for _ in range(200)]
+    pairs += [(None, "a"), ("a", None), ("", ""), ("", "abc"), ("same", "same"), ("x" * 64, "x" * 128), ("a" * 900, "ba" * 800)]
+    df = spark.createDataFrame(pairs, "a string, b string").repartition(1)
+    got = df.select(X.edit_distance(F.col("a"), F.col("b")).alias("d"), F.levenshtein("a", "b").alias("want")).collect()
+    assert [r["d"] for r in got] == [r["want"] for r in got]
+
+
+def test_edit_distance_of_long_lines(spark):
+    """The JVM's function takes a step for each of 3.6 thousand million cells."""
+    df = spark.createDataFrame([("abcd" * 15_000, "dcbae" * 12_000)], "a string, b string").coalesce(1)
+    began = time.time()
+    assert df.select(X.edit_share(F.col("a"), F.col("b")).alias("e")).first()["e"] > 0.2
+    assert time.time() - began < 12
