@@ -5,24 +5,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.fold import importable
 from ..functions.text import normalized
-from ..operators.fold import importable
-from ..operators.layout import merge_lines
+from ..operators.fold import SLICE_BYTES, SLICE_ROWS, importable, per_document
+from ..operators.layout import merged_lines
 
 SPANS = "cell_idx int, x0 double, y0 double, x1 double, y1 double, cell_w double, cell_h double, text string, blocks array<string>"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    """An element; it doesn't know its parent, so a page's tree goes as soon as it is let go."""
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: _Node | None) -> None:
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+    __slots__ = ("tag", "attrs", "children")
+
+    def __init__(self, tag: str, attrs: dict[str, str]) -> None:
+        self.tag, self.attrs, self.children = tag, attrs, []
 
     def find(self, tag: str) -> Iterator[_Node]:
         for c in self.children:
@@ -38,26 +39,26 @@ class _Node:
 class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = _Node("", {}, None)
+        self.root = _Node("", {})
+        self.open = [self.root]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        node = _Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(node)
+        self.handle_startendtag(tag, attrs)
         if tag not in VOID:
-            self.at = node
+            self.open.append(self.open[-1].children[-1])
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.at.children.append(_Node(tag, {k: v or "" for k, v in attrs}, self.at))
+        self.open[-1].children.append(_Node(tag, {k: v or "" for k, v in attrs}))
 
     def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node.parent is not None and node.tag != tag:
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
+        at = len(self.open) - 1
+        while at and self.open[at].tag != tag:
+            at -= 1
+        if at:
+            del self.open[at:]
 
     def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
+        self.open[-1].children.append(data)
 
 
 def title_fields(title: str) -> dict[str, list[str]]:
@@ -111,25 +112,44 @@ def cells_of(html: str) -> list[list[tuple]]:
 
 
 def spans(pages: DataFrame, key: str = "path", html: str = "html") -> DataFrame:
-    """pages(path, html) -> (path, cell_idx, x0, y0, x1, y1, cell_w, cell_h, text, blocks). Null html: no cells."""
+    """pages(path, html) -> (path, cell_idx, x0, y0, x1, y1, cell_w, cell_h, text, blocks). Null html: no cells.
+
+    A worker holds one page's tree at a time, and sends spans on as soon as they come of about SLICE_BYTES of html.
+    """
     importable(pages.sparkSession)
-    kind = dict(pages.dtypes)[key]
+    out = f"path {dict(pages.dtypes)[key]}, {SPANS}"
+    arrow = pages.sparkSession.createDataFrame([], out).toArrow().schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, rows, held = [], [], 0
+            for n in range(b.num_rows):
+                page = b.column("h")[n].as_py()
+                if page is not None:
+                    for c, cell in enumerate(cells_of(page)):
+                        rows += [(c, *s) for s in cell]
+                    at += [n] * (len(rows) - len(at))
+                    held += len(page)
+                if rows and (n + 1 == b.num_rows or held >= SLICE_BYTES or len(rows) >= SLICE_ROWS):
+                    own = [b.column("k").take(pa.array(at, pa.int32())), *(pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), list(arrow)[1:], strict=True))]
+                    yield pa.RecordBatch.from_arrays(own, schema=pa.schema([pa.field("path", own[0].type), *list(arrow)[1:]]))
+                    at, rows, held = [], [], 0
+
+    return pages.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInArrow(run, out)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = [(k, c, *s) for k, h in zip(part["k"], part["h"], strict=True) if h is not None for c, cell in enumerate(cells_of(h)) for s in cell]
-            yield pd.DataFrame(rows, columns=["path", "cell_idx", "x0", "y0", "x1", "y1", "cell_w", "cell_h", "text", "blocks"])
 
-    return pages.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(run, f"path {kind}, {SPANS}")
+def _cell(rows: list[tuple]) -> list[tuple]:
+    """Boxes of a cell (as merged_lines takes them, then the cell's width and height) -> its lines, or none if it has one."""
+    lines = merged_lines([r[:7] for r in rows])
+    return [(pos, *line, *rows[0][7:]) for pos, _, *line in lines] if len(lines) > 1 else []
 
 
 def cell_blocks(found: DataFrame) -> DataFrame:
-    """Spans with normalised texts, merged to lines; cells with one line are left out. (path, cell_idx, pos, x0, ..., cell_w, cell_h, text, blocks)."""
-    sizes = found.groupBy("path", "cell_idx").agg(F.first("cell_w").alias("cell_w"), F.first("cell_h").alias("cell_h"))
+    """Spans with normalised texts, merged to lines; cells with one line are left out. (path, cell_idx, pos, x0, ..., text, blocks, cell_w, cell_h)."""
     importable(found.sparkSession)
-    merged = merge_lines(found.withColumn("page", F.lit(0)).withColumn("text", normalized(F.col("text"))), by=("path", "cell_idx")).drop("page")
-    many = merged.groupBy("path", "cell_idx").count().where("count > 1").drop("count")
-    return merged.join(many, ["path", "cell_idx"]).join(sizes, ["path", "cell_idx"])
+    rows = found.select("path", "cell_idx", F.lit(0).alias("page"), (-F.col("y0")).alias("ny0"), "x0", "x1", "y1", normalized(F.col("text")).alias("text"), F.coalesce("blocks", F.array().cast("array<string>")).alias("blocks"), "cell_w", "cell_h")
+    columns = ["page", "ny0", "x0", "x1", "y1", "text", "blocks", "cell_w", "cell_h"]
+    return per_document(rows, columns, _cell, "pos int, x0 double, y0 double, x1 double, y1 double, text string, blocks array<string>, cell_w double, cell_h double", ("path", "cell_idx"))
 
 
 def read_hocr(spark: SparkSession, path: str) -> DataFrame:

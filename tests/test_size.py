@@ -1,5 +1,6 @@
 """What is dealt out and held as the tables grow."""
 
+import gc
 import random
 import re
 import time
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from lineweave.functions import text as X
 from lineweave.operators import layout as L
 from lineweave.queries import QUERIES
+from lineweave.sources import hocr
 
 
 def _exchanges(df):
@@ -85,3 +87,28 @@ def test_edit_distance_of_long_lines(spark):
     began = time.time()
     assert df.select(X.edit_share(F.col("a"), F.col("b")).alias("e")).first()["e"] > 0.2
     assert time.time() - began < 12
+
+
+def test_hocr_trees_go_at_once():
+    """Trees that know their parents live until a collection of cycles."""
+    html = '<div class="ocr_page"><table><tr><td title="bbox 0 0 100 100">' + "".join(f'<span title="bbox 0 {20 * k} 50 {20 * k + 10}">line {k}<br></span>' for k in range(40)) + "</td></tr></table></div></p>"
+    gc.collect()
+    gc.disable()
+    try:
+        assert [len(c) for c in hocr.cells_of(html)] == [40]
+        assert gc.collect() < 40
+    finally:
+        gc.enable()
+
+
+def test_hocr_goes_on_in_slices(spark):
+    """Spans of many pages in one Arrow batch, with pages that have none."""
+    html = '<div class="ocr_page"><table><tr><td title="bbox 0 0 100 100"><span title="bbox 0 0 50 10">' + "x" * 400_000 + '</span><span title="bbox 0 20 50 30">y</span></td></tr></table></div>'
+    pages = spark.createDataFrame([(k, html if k % 2 else None if k % 4 else "") for k in range(100)], "path long, html string").coalesce(1)
+    got = hocr.spans(pages).selectExpr("path", "length(text) AS n").orderBy("path", "n").collect()
+    assert [tuple(r) for r in got] == [(k, n) for k in range(1, 100, 2) for n in (1, 400_000)]
+
+
+def test_hocr_cells_are_gathered_once(spark):
+    pages = spark.createDataFrame([(1, "")], "path long, html string")
+    assert len(_exchanges(hocr.cell_blocks(hocr.spans(pages)))) == 1
