@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.structure import LABELS, line_relations
+from ..operators.fold import per_document
+from ..operators.structure import ELIMINATE, LABELS, related_lines
 
 _NAME = "element_at(array({}), {{0}} + 1)".format(", ".join(f"'{n}'" for n in (*LABELS, "ADDRESS")))
 
@@ -41,21 +42,41 @@ def prediction_json(lines: DataFrame, gold: DataFrame, pred: DataFrame, features
     return each.select("doc_id", F.to_json(made).alias("value"))
 
 
+_KINDS = ("continual", "siblings", "ancestors", "parent", "descendents", "children")
+_ENTRIES = f"array<struct<id:string,own:struct<text:string,{','.join(f'{k}:array<string>' for k in _KINDS)}>>>"
+
+
+def _entries(rows: list[tuple], strict: bool) -> list[tuple]:
+    """rows (pos, label, pointer, text, blocks) of a document -> (id, (text, span ids of each relation)) in the order of the ids; a span of several lines is that of the first."""
+    lines: dict[int, list[str]] = {}
+    for pos, *_, blocks in rows:
+        lines.setdefault(pos, []).extend(x for x in blocks or [] if x is not None)
+    made: dict[str, tuple] = {}
+    texts = {r[0]: r[3] for r in reversed(rows)}
+    for pos, *relations in related_lines([r[:3] for r in rows], strict):
+        if not lines[pos]:
+            continue
+        continual, siblings, ancestors, parent, descendents, children = relations
+        own = (texts[pos], *(sorted({x for p in others for x in lines.get(p, ())}) for others in (continual, siblings, ancestors, [] if parent is None else [parent], descendents, children)))
+        for x in lines[pos]:
+            made.setdefault(x, own)
+    return sorted(made.items(), key=lambda e: e[0].encode("utf-8", "surrogatepass"))
+
+
 def relation_json(lines: DataFrame, by: str = "doc_id", strict: bool = False) -> DataFrame:
     """lines(doc_id, pos, label, pointer, text, blocks) -> (doc_id, value): span id -> text and the span ids in each relation.
 
-    A line's spans share its relations; spans of the same line are not related to each other.
+    A line's spans share its relations; spans of the same line are not related to each other. One exchange gathers a
+    document's lines, and one pass over them gives the whole map, so no pair of related lines is dealt out.
     """
-    rel = line_relations(lines, strict).select("doc_id", "pos", "continual", "siblings", "ancestors", F.expr("filter(array(parent), x -> x IS NOT NULL)").alias("parent"), "descendents", "children")
-    kinds = ("continual", "siblings", "ancestors", "parent", "descendents", "children")
-    ids = lines.select("doc_id", F.col("pos").alias("other"), "blocks")
-    long = rel.select("doc_id", "pos", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("others")) for k in kinds])).alias("x")).select("doc_id", "pos", "x.kind", F.explode("x.others").alias("other"))
-    found = long.join(ids, ["doc_id", "other"]).groupBy("doc_id", "pos", "kind").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("blocks")))).alias("spans"))
-    wide = found.groupBy("doc_id", "pos").agg(*[F.coalesce(F.first(F.when(F.col("kind") == k, F.col("spans")), True), F.array().cast("array<string>")).alias(k) for k in kinds])
-    each = lines.select("doc_id", "pos", "text", F.explode("blocks").alias("id")).join(wide, ["doc_id", "pos"], "left")
-    own = F.struct("text", *[F.coalesce(k, F.array().cast("array<string>")).alias(k) for k in kinds])
-    entries = each.groupBy("doc_id", "id").agg(F.min_by(own, "pos").alias("own"))
-    return entries.groupBy(by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("id", "own")))).alias("m")).select(by, F.to_json("m").alias("value"))
+    rows = lines.select(by, "pos", F.coalesce("label", F.lit(ELIMINATE)).alias("label"), "pointer", "text", "blocks")
+
+    def fold(found: list[tuple]) -> list[tuple]:
+        entries = _entries(found, strict)
+        return [([{"id": k, "own": dict(zip(("text", *_KINDS), own, strict=True))} for k, own in entries],)] if entries else []
+
+    made = per_document(rows, ["pos", "label", "pointer", "text", "blocks"], fold, f"m {_ENTRIES}", (by,))
+    return made.select(by, F.to_json(F.map_from_entries("m")).alias("value"))
 
 
 def write_json(rows: DataFrame, path: str) -> None:

@@ -1,6 +1,7 @@
 """What is dealt out and held as the tables grow."""
 
 import gc
+import json
 import random
 import re
 import time
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lineweave.functions import text as X
 from lineweave.operators import layout as L
+from lineweave.plans import export
 from lineweave.queries import QUERIES
 from lineweave.sources import hocr
 
@@ -112,3 +114,13 @@ def test_hocr_goes_on_in_slices(spark):
 def test_hocr_cells_are_gathered_once(spark):
     pages = spark.createDataFrame([(1, "")], "path long, html string")
     assert len(_exchanges(hocr.cell_blocks(hocr.spans(pages)))) == 1
+
+
+def test_relation_export_deals_no_pairs_out(spark):
+    """One exchange of a document's lines; pairs of related lines had exchanges of their own. Spans of several lines are the first line's."""
+    rows = [(0, 0, 2, None, "a", ["x", "é"]), (0, 1, 1, None, "b", ["y"]), (0, 2, None, None, "out", ["z", "y"]), (0, 3, 1, None, None, []), (1, 0, 1, None, "alone", None)]
+    df = spark.createDataFrame(rows, "doc_id long, pos int, label int, pointer int, text string, blocks array<string>")
+    made = export.relation_json(df)
+    assert len(_exchanges(made)) == 1
+    none = {k: [] for k in ("continual", "siblings", "ancestors", "parent", "descendents", "children")}
+    assert [json.loads(r["value"]) for r in made.collect()] == [{"x": (own := {"text": "a", **none, "descendents": ["y"]}), "y": {"text": "b", **none, "ancestors": ["x", "é"], "parent": ["x", "é"]}, "z": {"text": "out", **none}, "é": own}]
