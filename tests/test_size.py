@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lineweave.functions import text as X
 from lineweave.operators import layout as L
-from lineweave.plans import export
+from lineweave.plans import export, model
 from lineweave.queries import QUERIES
 from lineweave.sources import hocr
 
@@ -124,3 +124,14 @@ def test_relation_export_deals_no_pairs_out(spark):
     assert len(_exchanges(made)) == 1
     none = {k: [] for k in ("continual", "siblings", "ancestors", "parent", "descendents", "children")}
     assert [json.loads(r["value"]) for r in made.collect()] == [{"x": (own := {"text": "a", **none, "descendents": ["y"]}), "y": {"text": "b", **none, "ancestors": ["x", "é"], "parent": ["x", "é"]}, "z": {"text": "out", **none}, "é": own}]
+
+
+def test_labels_go_through_the_forest_once(spark):
+    """Both passes' labels are kept: the second pass, both sides of the pairs and the result look at them."""
+    lines = [("1. Head", 0, 2, None), ("some text,", 2, 0, None), ("and more", 4, 3, 0), ("(a) item", 0, 1, None)] * 6
+    blocks = spark.createDataFrame([(d, k, t, " " * i + t, i, len(t) + i, k % 3 == 0) for d in range(3) for k, (t, i, _, _) in enumerate(lines)], "doc_id long, pos int, text string, text_orig string, indent int, width int, top_spacing boolean")
+    gold = spark.createDataFrame([(d, k, label, None if p is None else k - 2) for d in range(3) for k, (_, _, label, p) in enumerate(lines)], "doc_id long, pos int, label int, pointer int")
+    got = model.predict(blocks, model.train(blocks, gold, "text_contract", settings=model.Settings(trees=3, depth=4)))
+    leaves = got._jdf.queryExecution().withCachedData().collectLeaves()
+    kept = [leaves.apply(k).nodeName() for k in range(leaves.size())].count("InMemoryRelation")
+    assert kept >= 3 and got.count() == 72
