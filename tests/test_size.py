@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lineweave.functions import text as X
 from lineweave.operators import layout as L
 from lineweave.plans import export, model
+from lineweave.plans.features import EXTRACTORS
 from lineweave.queries import QUERIES
 from lineweave.sources import hocr
 
@@ -135,3 +136,44 @@ def test_labels_go_through_the_forest_once(spark):
     leaves = got._jdf.queryExecution().withCachedData().collectLeaves()
     kept = [leaves.apply(k).nodeName() for k in range(leaves.size())].count("InMemoryRelation")
     assert kept >= 3 and got.count() == 72
+
+
+def _labelled(spark, n):
+    """Blocks and gold of n documents; only the even ones have an eliminated line."""
+    lines = [("1. Head", 0, 2, None), ("some text,", 2, 0, None), ("7", 30, 4, None), ("and more", 4, 3, 0), ("(a) item", 0, 1, None)]
+    lines = [[x for x in lines if d % 2 == 0 or x[2] != 4] * 4 for d in range(n)]
+    blocks = [(d, k, t, " " * i + t, i, len(t) + i, (d + k) % 3 == 0) for d in range(n) for k, (t, i, _, _) in enumerate(lines[d])]
+    gold = [(d, k, label, None if p is None else max(j for j in range(k) if lines[d][j][2] == 2)) for d in range(n) for k, (_, _, label, p) in enumerate(lines[d])]
+    return spark.createDataFrame(blocks, "doc_id long, pos int, text string, text_orig string, indent int, width int, top_spacing boolean"), spark.createDataFrame(gold, "doc_id long, pos int, label int, pointer int")
+
+
+def test_examples_of_all_folds_are_made_once(spark, monkeypatch):
+    """Each fold's training made the features of its lines and pairs anew: each line's four times over."""
+    blocks, gold = _labelled(spark, 9)
+    made, fitted = [], []
+    for name in ("line_features", "pointer_features"):
+        monkeypatch.setattr(model, name, lambda *a, f=getattr(model, name), **kw: made.append(f.__name__) or f(*a, **kw))
+    monkeypatch.setattr(model, "_fitted", lambda rows, settings: fitted.append(sorted(map(str, rows.select("features", "label").collect()))))
+    monkeypatch.setattr(model, "predict", lambda blocks, models: blocks.select("doc_id", "pos"))
+    got = model.cross_predict(blocks, gold, "text_contract", 3)
+    assert sorted(made) == ["line_features", "pointer_features"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, blocks.select("doc_id", "pos").collect()))
+    want = []
+    for f in range(3):
+        others = model.folds(blocks.select(F.col("doc_id").alias("cv_key")), 3).where(F.col("fold") != f).select(F.col("cv_key").alias("doc_id"))
+        known = model.examples(blocks.join(others, "doc_id"), gold.join(others, "doc_id"), "text_contract")
+        want += [sorted(map(str, rows.select("features", "label").collect())) for rows in (known.lines, known.pairs)]
+    assert sorted(fitted) == sorted(want) and all(want)
+
+
+def test_second_pass_takes_changed_documents_only(spark, monkeypatch):
+    """Those where the first pass eliminated a line; of the others it would see the same features."""
+    blocks, gold = _labelled(spark, 6)
+    models = model.train(blocks, gold, "text_contract", settings=model.Settings(trees=5, depth=5))
+    seen, features = [], model.line_features
+    monkeypatch.setattr(model, "line_features", lambda df, own, labels=None, keep=(): (labels and seen.append({r["doc_id"] for r in df.select("doc_id").collect()})) or features(df, own, labels, keep))
+    got = model.predict(blocks, models)
+    assert got.count() == blocks.count() and seen == [{0, 2, 4}] == [{r["doc_id"] for r in got.where("label = 4").collect()}]
+    own, odd = EXTRACTORS["text_contract"](), blocks.where("doc_id % 2 = 1")
+    plain, after = features(odd, own), features(odd.withColumn("first", F.lit(1)), own, "first")
+    assert sorted(map(str, plain.collect())) == sorted(map(str, after.collect())) != []
